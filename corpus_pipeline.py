@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwell.llm import exact_dedup, quality_rules
+from groundwell.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from groundwell.llm.queries import tokenizer_path
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +16,25 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("quality_rules", _quality), ("exact_dedup", _exact)]
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply_mix(docs)
+
+
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", _quality),
+    ("exact_dedup", _exact),
+    ("simhash_near_dedup", _near),
+    ("mixing", _mix),
+    ("packing", _pack),
+]
 
 #: Packing needs a tokenizer and near-duplicate components a recursion over fingerprints: not SQL.
 ORACLE_SQL = None
