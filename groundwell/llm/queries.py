@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import chat_format, exact_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, sharding, simhash
+from groundwell.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, simhash
 from groundwell.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
