@@ -32,7 +32,7 @@ def limited(requests: DataFrame, key: str, ts: str, request_id: str, limit: int,
         state.setTimeoutDuration(int(window_s * 1000))
         yield pd.DataFrame({key: group[0], request_id: rows[request_id], "allowed": allowed})
 
-    timed = requests.select(key, request_id, F.col(ts).cast("double").alias("__t"))
+    timed = requests.select(key, request_id, F.col(ts).cast("timestamp").cast("double").alias("__t"))
     return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {request_id} {kinds[request_id]}, allowed boolean", "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
@@ -62,5 +62,5 @@ def job_states(events: DataFrame, ttl_s: float) -> DataFrame:
         state.setTimeoutDuration(int(ttl_s * 1000))
         yield pd.DataFrame({"job_id": [group[0]], "status": [status], "n_events": [n], "frames": ["".join(sent)]})
 
-    timed = events.select("job_id", "seq", "type", "payload", F.col("ts").cast("double").alias("t"))
+    timed = events.select("job_id", "seq", "type", "payload", F.col("ts").cast("timestamp").cast("double").alias("t"))
     return timed.groupBy("job_id").applyInPandasWithState(step, "job_id string, status string, n_events long, frames string", "born double, status string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
