@@ -8,6 +8,7 @@ packed by itself, the tree finding the first open bin with room in O(log n).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 
 from groundwell.llm.common import cut
 
-#: Distinct words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+#: Distinct words, and stems of words, whose ids a worker remembers before it starts afresh.
+REMEMBERED = 500_000
+#: A word that the tokenizer splits into its letters, lower-cased, and its closing marks.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$&#|]*)")
+#: Texts tokenised together, and the characters of a long text taken at once.
+AT_ONCE, CHUNK = 256, 1 << 20
 #: Sequence ids of one group lie in a block of this size.
 GROUP_SPAN = 1 << 40
 
@@ -41,27 +46,93 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return bins
 
 
+def _chunks(text: str) -> Iterator[str]:
+    """``text`` in parts of about ``CHUNK`` characters, cut only at spaces."""
+    at = 0
+    while len(text) - at > CHUNK and (cut_ := text.find(" ", at + CHUNK)) >= 0:
+        yield text[at:cut_]
+        at = cut_ + 1
+    yield text[at:] if at else text
+
+
 class WordIds(dict):
-    """Word to the packed ids of its tokens. The tokenizer drops white space, so a text's ids are its words' in a row."""
+    """Word to the packed ids of its tokens. The tokenizer drops white space, so a text's ids are its words' in a row.
+
+    Unknown words are tokenised together, parted by a mark that is one token of
+    its own; a call for each word would cost several times the tokenising.
+    """
+
+    #: Symbols to try as the mark.
+    MARKS = "\u2665\u2605\u2022\u2122\u00ae\u25cf\u2192\u2713\u266a\u00a9"
 
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.mark: int | None = None
+        self.stems: dict[str, bytes] = {}
+        found = ((m, self._ids(m)) for m in self.MARKS)
+        self.sign, self.mark = next(((m, int(ids[0])) for m, ids in found if len(ids) == 1), ("", None))
 
-    def __missing__(self, word: str) -> bytes:
+    def _ids(self, *texts: str):
+        """The ids of the texts in a row, parted by the mark's."""
         import numpy as np
 
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        out = []
+        for e in self.tokenizer.encode_batch_fast([*texts], add_special_tokens=False):
+            out += e.ids
+            out.append(self.mark or 0)
+        return np.asarray(out[:-1], "<u4")
+
+    def _tokenised(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        import numpy as np
 
-    def encode(self, text: str | None, end_id: int) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").replace("\t", " ").split(" "))) + end_id.to_bytes(4, "little")
+        apart = [w for w in words if not self.sign or self.sign in w]
+        plain = [w for w in words if self.sign and self.sign not in w]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids = self._ids(*(f" {self.sign} ".join(part[i : i + 50]) for i in range(0, len(part), 50)))
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) != len(part):  # some word yields the mark itself
+                apart += part
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends):
+                yield w, raw[4 * start : 4 * end]
+                start = end + 1
+        for w in apart:
+            yield w, self._ids(w).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Adds the words: those of letters and closing marks by their lower-cased letters, others whole."""
+        taken = {w: (m[1].lower(), m[2]) for w in words if (m := PLAIN.fullmatch(w))}
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
+        new = {x for pair in taken.values() for x in pair} - self.stems.keys()
+        self.stems.update(self._tokenised([*new]))
+        stems = self.stems
+        self.update({w: stems[a] + stems[b] for w, (a, b) in taken.items()})
+        self.update(self._tokenised([w for w in words if w not in taken]))
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """The packed ids of each text, with ``end_id`` last."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        found, gaps = [], []  # ids of every text's words, and where they are not known yet
+        for t in texts:
+            ids: list = []
+            for part in _chunks(t or ""):
+                words, at = part.replace("\n", " ").split(" "), len(ids)
+                ids += map(self.get, words)
+                if None in ids:
+                    gaps += [(ids, at + i, w) for i, (x, w) in enumerate(zip(ids[at:], words)) if x is None]
+            ids.append(end_id.to_bytes(4, "little"))
+            found.append(ids)
+        self.learn({w for _, _, w in gaps})
+        for ids, i, w in gaps:
+            ids[i] = self[w]
+        return [b"".join(ids) for ids in found]
 
 
 def pieces(df: DataFrame, text: str, id_col: str, tokenizer_path: str, seq_len: int, end_id: int) -> DataFrame:
@@ -76,10 +147,10 @@ def pieces(df: DataFrame, text: str, id_col: str, tokenizer_path: str, seq_len:
         step = 4 * seq_len
         for batch in batches:
             counts, crcs = [], []
-            for text_ in batch.column(1):
-                ids = words.encode(text_.as_py(), end_id)
-                counts.append(len(ids) // 4)
-                crcs.append([zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                for ids in words.encode(batch.column(1).slice(at, AT_ONCE).to_pylist(), end_id):
+                    counts.append(len(ids) // 4)
+                    crcs.append([zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["id", "tokens", "crcs"])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
