@@ -62,8 +62,8 @@ def normalize(text: Column) -> Column:
 
 
 def normalized_tokens(text: Column) -> Column:
-    n = normalize(text)
-    return F.filter(F.split(n, " "), lambda t: t != "")
+    """The words of the normalised text, by one pass of the pattern."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
 #: Search tokens split where normalised text does.

@@ -16,3 +16,14 @@ def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFr
     """
     small = df.limit(most_rows + 1).count() <= most_rows
     return F.broadcast(df) if small else df
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    A file of one row group is one task however many cores wait. Only inputs
+    with fewer splits than cores are dealt out anew, so large tables are never
+    shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

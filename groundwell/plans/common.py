@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundwell.operators.sizing import widen
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,7 +27,8 @@ class Registry:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widen(df) if name in ("documents", "pages") else df
 
 
 def norm_sql(x: str) -> str:

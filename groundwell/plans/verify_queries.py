@@ -30,7 +30,9 @@ def _ground_sql(frm: str, m: str = "2") -> str:
 
 
 def _assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.col("text")).alias("source_norm"), tx.normalize(F.concat_ws(" ", "lang", "source")).alias("patient_norm"), F.posexplode(F.split("text", "\n")).alias("pos", "criterion"))
+    # Texts are normalised before the explode: beside it, that would be done for every line.
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", tx.normalize(F.col("text")).alias("source_norm"), tx.normalize(F.concat_ws(" ", "lang", "source")).alias("patient_norm"))
+    d = d.select("doc_id", "source_norm", "patient_norm", F.posexplode_outer(F.split("text", "\n")).alias("pos", "criterion"))
     verdict = F.element_at(F.array(*[F.lit(v) for v in ("met", "not_met", "cannot_determine", "not_met")]), ((F.col("doc_id") * 7 + F.col("pos") * 3) % 4 + 1).cast("int"))
     quote = F.when((F.col("doc_id") + F.col("pos")) % 3 == 0, F.concat(F.lit("zzmissing "), "criterion")).otherwise(F.col("criterion"))
     return d.withColumns({"kind": F.when(F.col("pos") % 2 == 0, "inclusion").otherwise("exclusion"), "verdict": verdict, "quote": quote})
