@@ -95,6 +95,8 @@ def test_streamed_limiter_and_jobs_equal_the_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "k int, i int, ts timestamp")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = ss.limited(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", "ts", "i", 2, 5)
+    # processing-time state would otherwise be swept in empty batches without end
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = stream.writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     want = {(r["k"], r["i"], r["allowed"]) for r in stateful.rate_limiter(df, "k", "ts", 2, 5, "i").collect()}
