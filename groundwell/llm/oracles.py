@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from groundwell.llm.quality_rules import RULES, STOP_WORDS
+
 #: Words of a text, as in the operators.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -24,6 +26,22 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM u GROUP BY conv_id
 """
 
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_PASSED = " AND ".join(f"{r.numerator} {op} {r.denominator} * {bound}::DOUBLE" for r in RULES for op, bound in ((">=", r.low), ("<=", r.high)) if abs(bound) != float("inf"))
+
+OP7 = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x, {WORDS} AS w FROM documents
+), l AS (SELECT *, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS lines FROM t
+), win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM t, unnest(generate_series(1, len(w) - 2)) AS g(i)
+), twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM win) WHERE n > 1
+), hit AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY rid
+), m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(w, lambda y: lower(y) IN ({_STOP}))) AS n_stop_words, len(lines) AS n_lines FROM l LEFT JOIN hit USING (rid)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSED} AS kept FROM b
+"""
+
 OP10 = r"""
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents
@@ -34,4 +52,4 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4, "op10_exact_dedup": OP10}
+    return {"op4_chat_format": OP4, "op7_quality_rules": OP7, "op10_exact_dedup": OP10}
