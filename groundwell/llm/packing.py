@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from groundwell.llm.common import cut
 
-#: Distinct words, and stems of words, whose ids a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Distinct words, and stems of words, in one generation of what a worker remembers: about 45 MB each.
+REMEMBERED = 220_000
 #: A word that the tokenizer splits into its letters, lower-cased, and its closing marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$&#|]*)")
 #: Texts tokenised together, and the characters of a long text taken at once.
@@ -55,7 +55,24 @@ def _chunks(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-class WordIds(dict):
+class Remembered(dict):
+    """A bounded memory of two generations: what was not asked for during a whole generation is forgotten."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, names: set[str]) -> set[str]:
+        """Brings back what the older generation knows of the names; those that nobody knows."""
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        asked, old = names - self.keys(), self.old
+        known = asked & old.keys()
+        self.update({w: old[w] for w in known})
+        return asked - known
+
+
+class WordIds(Remembered):
     """Word to the packed ids of its tokens. The tokenizer drops white space, so a text's ids are its words' in a row.
 
     Unknown words are tokenised together, parted by a mark that is one token of
@@ -68,10 +85,11 @@ class WordIds(dict):
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
         self.mark: int | None = None
-        self.stems: dict[str, bytes] = {}
+        self.stems = Remembered()
         found = ((m, self._ids(m)) for m in self.MARKS)
         self.sign, self.mark = next(((m, int(ids[0])) for m, ids in found if len(ids) == 1), ("", None))
 
@@ -106,19 +124,15 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         """Adds the words: those of letters and closing marks by their lower-cased letters, others whole."""
+        words, stems = self.recall(words), self.stems
         taken = {w: (m[1].lower(), m[2]) for w in words if (m := PLAIN.fullmatch(w))}
-        if len(self.stems) > REMEMBERED:
-            self.stems.clear()
-        new = {x for pair in taken.values() for x in pair} - self.stems.keys()
-        self.stems.update(self._tokenised([*new]))
-        stems = self.stems
+        new = stems.recall({x for pair in taken.values() for x in pair})
+        stems.update(self._tokenised([*new]))
         self.update({w: stems[a] + stems[b] for w, (a, b) in taken.items()})
         self.update(self._tokenised([w for w in words if w not in taken]))
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """The packed ids of each text, with ``end_id`` last."""
-        if len(self) > REMEMBERED:
-            self.clear()
         found, gaps = [], []  # ids of every text's words, and where they are not known yet
         for t in texts:
             ids: list = []
@@ -135,6 +149,16 @@ class WordIds(dict):
         return [b"".join(ids) for ids in found]
 
 
+_AT_WORK: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_path: str) -> WordIds:
+    """This worker process's memory for a tokenizer, kept from task to task."""
+    if tokenizer_path not in _AT_WORK:
+        _AT_WORK[tokenizer_path] = WordIds(tokenizer_path)
+    return _AT_WORK[tokenizer_path]
+
+
 def pieces(df: DataFrame, text: str, id_col: str, tokenizer_path: str, seq_len: int, end_id: int) -> DataFrame:
     """(id, tokens, crcs): each document's ids counted, with the CRC-32 of each piece of ``seq_len`` and of the rest."""
 
@@ -143,7 +167,7 @@ def pieces(df: DataFrame, text: str, id_col: str, tokenizer_path: str, seq_len:
 
         import pyarrow as pa
 
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         step = 4 * seq_len
         for batch in batches:
             counts, crcs = [], []
