@@ -19,6 +19,8 @@ from groundwell.llm.common import ascii_lower, cut
 BITMAP_BITS = 32_768
 #: Most filter positions: 2**27 bits are 16 MB, so the broadcast has a proven bound.
 MAX_CELLS = 1 << 27
+#: Groups of at least one row in so many are few enough to broadcast: as many groups at most.
+HOT_SHARE = 1000
 
 
 def filter_cells(n_rows: int, bits_per_row: int = 16, most: int = MAX_CELLS) -> int:
@@ -78,14 +80,21 @@ def exact_duplicates(
             "id", "sha", F.xxhash64("sha").alias("h"), F.monotonically_increasing_id().alias("tag")
         )
     )
-    cells = filter_cells(rows.count(), bits_per_row, max_cells)
+    n_rows = rows.count()
+    cells = filter_cells(n_rows, bits_per_row, max_cells)
     flagged = flag_repeated(rows, cut(repeated_bitmaps(rows, "h", cells)), "h", cells)
     maybe = flagged.where("maybe_repeated")
-    groups = maybe.groupBy("sha").agg(F.max(F.struct("id", "tag")).alias("best"), F.count(F.lit(1)).alias("n"))
-    out = [F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")]
-    grouped = maybe.join(groups.withColumnRenamed("sha", "g_sha"), F.col("sha") == F.col("g_sha")).select(
+    groups = cut(maybe.groupBy("sha").agg(F.max(F.struct("id", "tag")).alias("best"), F.count(F.lit(1)).alias("n")).select(F.col("sha").alias("g_sha"), "best", "n"))
+    # A group of a thousandth of all rows or more is joined by broadcast, there being a thousand of them at
+    # most; so no copies of one text meet in a task, and the groups that are shuffled are all small.
+    hot = F.col("n") * HOT_SHARE >= n_rows
+    same = F.col("sha") == F.col("g_sha")
+    met = maybe.join(F.broadcast(groups.where(hot)), same, "left")
+    cold = met.where("g_sha is null").select(*maybe.columns).join(groups.where(~hot), same)
+    grouped = met.where("g_sha is not null").unionByName(cold).select(
         "id", "sha", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("tag") == F.col("best.tag")).alias("kept")
     )
+    out = [F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")]
     alone = flagged.where(~F.col("maybe_repeated")).select(
         "id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
