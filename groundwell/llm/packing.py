@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from groundwell.llm.common import cut
 
-#: Distinct words, and stems of words, in one generation of what a worker remembers: about 45 MB each.
-REMEMBERED = 220_000
+#: Distinct words, and stems of words, in one generation of what a worker remembers: about 60 MB each.
+REMEMBERED = 300_000
 #: A word that the tokenizer splits into its letters, lower-cased, and its closing marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$&#|]*)")
 #: Texts tokenised together, and the characters of a long text taken at once.
@@ -66,10 +66,10 @@ class Remembered(dict):
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
-        asked, old = names - self.keys(), self.old
-        known = asked & old.keys()
-        self.update({w: old[w] for w in known})
-        return asked - known
+        # name by name: set arithmetic with a view of the keys would walk the whole memory
+        asked, old = [n for n in names if n not in self], self.old
+        self.update({n: old[n] for n in asked if n in old})
+        return {n for n in asked if n not in old}
 
 
 class WordIds(Remembered):
@@ -137,10 +137,13 @@ class WordIds(Remembered):
         for t in texts:
             ids: list = []
             for part in _chunks(t or ""):
-                words, at = part.replace("\n", " ").split(" "), len(ids)
+                words, base = part.replace("\n", " ").split(" "), len(ids)
+                at = base
                 ids += map(self.get, words)
-                if None in ids:
-                    gaps += [(ids, at + i, w) for i, (x, w) in enumerate(zip(ids[at:], words)) if x is None]
+                for _ in range(ids.count(None)):
+                    i = ids.index(None, at)
+                    gaps.append((ids, i, words[i - base]))
+                    ids[i], at = b"", i + 1
             ids.append(end_id.to_bytes(4, "little"))
             found.append(ids)
         self.learn({w for _, _, w in gaps})
