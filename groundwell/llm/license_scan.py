@@ -7,6 +7,8 @@ has a Jaccard similarity of at least 0.8s / (2c + 0.2s) > 0.19 with it, and
 ``bands_for`` picks the number of one-row bands at which a miss is rarer than
 asked. A band can only collide where the window holds the very shingle that is
 the template's minimum, so windows without such an anchor are never built.
+A template under five words has one shingle, all its words, and windows of
+shingles of that width.
 Only DataFrame functions run on the rows.
 """
 
@@ -38,6 +40,9 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",
 }
 
+#: Notices under ``SHINGLE`` words.
+SHORT_TEMPLATES = {"all-rights-reserved": "All rights reserved."}
+
 
 def bands_for(contained: float = CONTAINED, miss: float = 1e-4) -> int:
     """One-row bands at which a window that holds ``contained`` of a template goes unseen less often than ``miss``."""
@@ -55,15 +60,23 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingle_hashes(w: Column) -> Column:
-    """A 64-bit hash for each ``SHINGLE`` words in a row; none in shorter texts."""
-    each = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - SHINGLE), lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(SHINGLE)]))
-    return _bound(w, lambda v: F.when(F.size(v) >= SHINGLE, each(v)).otherwise(F.array().cast("array<bigint>")))
+def shingle_hashes(w: Column, width: int = SHINGLE) -> Column:
+    """A 64-bit hash for each ``width`` words in a row; none in shorter texts."""
+    each = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - width), lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(width)]))
+    return _bound(w, lambda v: F.when(F.size(v) >= width, each(v)).otherwise(F.array().cast("array<bigint>")))
+
+
+def _hashes_of(w: Column, width: Column, widths: list[int]) -> Column:
+    """``shingle_hashes`` by the row's own width, one of ``widths``."""
+    out = F.array().cast("array<bigint>")
+    for k in widths:
+        out = F.when(width == k, shingle_hashes(w, k)).otherwise(out)
+    return out
 
 
-def shingles(w: Column) -> Column:
+def shingles(w: Column, width: Column) -> Column:
     """The distinct shingles themselves, for the exact check."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " ")))
 
 
 def minima(hashes: Column, bands: int) -> Column:
@@ -73,47 +86,55 @@ def minima(hashes: Column, bands: int) -> Column:
 
 
 def template_bands(spark: SparkSession, templates: dict[str, str], bands: int) -> DataFrame:
-    """(license, shingles, span, band, low, anchor): a row per template and band."""
-    t = spark.createDataFrame(sorted(templates.items()), "license string, body string").select("license", terms(F.col("body")).alias("w")).where(F.size("w") >= SHINGLE)
-    t = t.withColumns({"shingles": shingles(F.col("w")), "hashes": shingle_hashes(F.col("w"))})
+    """(license, shingles, width, span, band, low, anchor): a row per template and band."""
+    t = spark.createDataFrame(sorted(templates.items()), "license string, body string").select("license", terms(F.col("body")).alias("w")).where(F.size("w") > 0)
+    t = t.withColumn("width", F.least(F.size("w"), F.lit(SHINGLE)))
+    t = t.withColumns({"shingles": shingles(F.col("w"), F.col("width")), "hashes": _hashes_of(F.col("w"), F.col("width"), list(range(1, SHINGLE + 1)))})
     span = F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles")))).cast("int")
-    t = t.select("license", "shingles", span.alias("span"), F.explode(minima(F.col("hashes"), bands)).alias("b"))
-    return t.select("license", "shingles", "span", F.col("b.band").alias("band"), F.col("b.m.low").alias("low"), F.col("b.m.h").alias("anchor"))
+    t = t.select("license", "shingles", "width", span.alias("span"), F.explode(minima(F.col("hashes"), bands)).alias("b"))
+    return t.select("license", "shingles", "width", "span", F.col("b.band").alias("band"), F.col("b.m.low").alias("low"), F.col("b.m.h").alias("anchor"))
 
 
-def _starts(span: int, back: int) -> Column:
-    return F.transform("at", lambda i: F.struct(F.lit(span).alias("span"), ((F.floor(i / span).cast("int") - back) * span).alias("start")))
+def _starts(width: int, span: int, back: int) -> Column:
+    own = F.filter("at", lambda a: a["width"] == width)
+    return F.transform(own, lambda a: F.struct(F.lit(width).alias("width"), F.lit(span).alias("span"), ((F.floor(a["i"] / span).cast("int") - back) * span).alias("start")))
 
 
 def license_scan(
-    df: DataFrame, text: str = "text", id_col: str = "doc_id", templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED, miss: float = 1e-4
+    df: DataFrame, text: str = "text", id_col: str = "doc_id", templates: dict[str, str] = TEMPLATES | SHORT_TEMPLATES, contained: float = CONTAINED, miss: float = 1e-4
 ) -> DataFrame:
     """One row per document and license found: ``id_col, license, containment, word_at``.
 
     ``containment`` is the largest share of the template's distinct shingles
     found in one window and ``word_at`` the first word (from 0) of the first
-    such window. Texts under five words, null and empty ones hold no license.
-    Rows that share an id are one document; an empty table gives no rows; other
-    columns are not read. Templates under five words are ignored.
+    such window. A template under five words is found where all its words stand
+    in a row. Null and empty texts hold no license. Rows that share an id are
+    one document; an empty table gives no rows; other columns are not read.
+    Templates without words are ignored.
     """
     spark = df.sparkSession
     bands = bands_for(contained, miss)
     table = template_bands(spark, templates, bands)
     known = table.collect()  # templates times bands: fixed by the catalogue
-    spans, anchors = sorted({r["span"] for r in known}), sorted({r["anchor"] for r in known})
+    classes = sorted({(r["width"], r["span"]) for r in known})
+    widths = sorted({w for w, _ in classes})
+    anchors = {w: sorted({r["anchor"] for r in known if r["width"] == w}) for w in widths}
     table = spark.createDataFrame(known, table.schema)
-    found = F.filter(F.transform(shingle_hashes(terms(F.col("body"))), lambda h, i: F.when(h.isin(anchors), i)), lambda i: i.isNotNull())
+    anchored = lambda v, w: F.filter(F.transform(shingle_hashes(v, w), lambda h, i: F.when(h.isin(anchors[w]), F.struct(F.lit(w).alias("width"), i.alias("i")))), lambda a: a.isNotNull())
+    found = _bound(terms(F.col("body")), lambda v: F.concat(F.array().cast("array<struct<width:int,i:int>>"), *[anchored(v, w) for w in widths]))
     hit = df.select(F.col(id_col).alias("id"), F.col(text).alias("body")).withColumn("at", found).where(F.size("at") > 0)
     # The two windows of each class over every anchor; starts are multiples of the class's span.
-    starts = [_starts(s, back) for s in spans for back in (0, 1)]
+    starts = [_starts(w, s, back) for w, s in classes for back in (0, 1)] or [F.array().cast("array<struct<width:int,span:int,start:int>>")]
     windows = F.array_distinct(F.filter(F.concat(*starts), lambda x: x["start"] >= 0))
-    cut_out = lambda v: F.transform(F.col("wins"), lambda x: F.struct(x["span"].alias("span"), x["start"].alias("start"), F.slice(v, x["start"] + 1, x["span"] * 2 + SHINGLE - 1).alias("w")))
+    cut_out = lambda v: F.transform(F.col("wins"), lambda x: F.struct(x["width"].alias("width"), x["span"].alias("span"), x["start"].alias("start"), F.slice(v, x["start"] + 1, x["span"] * 2 + x["width"] - 1).alias("w")))
     wins = hit.select("id", "body", windows.alias("wins")).select("id", F.explode(_bound(terms(F.col("body")), cut_out)).alias("x")).select("id", "x.*")
-    wins = wins.where(F.size("w") >= SHINGLE)
-    banded = wins.select("id", "span", "start", "w", F.explode(minima(shingle_hashes(F.col("w")), bands)).alias("b")).select("id", "span", "start", "w", "b.band", F.col("b.m.low").alias("low"))
-    lookup = table.select(F.col("span").alias("t_span"), F.col("band").alias("t_band"), F.col("low").alias("t_low"), "license", "shingles")
-    pairs = banded.join(F.broadcast(lookup), (F.col("span") == F.col("t_span")) & (F.col("band") == F.col("t_band")) & (F.col("low") == F.col("t_low")))
-    share = F.size(F.array_intersect("shingles", shingles(F.col("w")))) / F.size("shingles")
+    wins = wins.where(F.size("w") >= F.col("width"))
+    hashes = _hashes_of(F.col("w"), F.col("width"), widths)
+    banded = wins.select("id", "width", "span", "start", "w", F.explode(minima(hashes, bands)).alias("b")).select("id", "width", "span", "start", "w", "b.band", F.col("b.m.low").alias("low"))
+    lookup = table.select(F.col("width").alias("t_width"), F.col("span").alias("t_span"), F.col("band").alias("t_band"), F.col("low").alias("t_low"), "license", "shingles")
+    same = [F.col(c) == F.col(f"t_{c}") for c in ("width", "span", "band", "low")]
+    pairs = banded.join(F.broadcast(lookup), same)
+    share = F.size(F.array_intersect("shingles", shingles(F.col("w"), F.col("width")))) / F.size("shingles")
     exact = pairs.select("id", "license", "start", share.alias("containment")).where(F.col("containment") >= contained)
     best = exact.groupBy("id", "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("neg"))).alias("b"))
     return best.select(F.col("id").alias(id_col), "license", F.col("b.containment").alias("containment"), (-F.col("b.neg")).alias("word_at"))
