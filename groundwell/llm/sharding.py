@@ -3,10 +3,12 @@
 Documents with equal texts are linked. All copies of a text have one size, so
 the graph is held as cells (text, shard, number of copies) and a round moves
 copies between cells: each text asks for the shard that already holds most of
-it, and every shard grants its askers the same fraction, so that it never fills
-beyond its quota. Texts that are too large for one shard end up in several.
-Unlinked documents, and linked ones that an overfull shard gives back, then fill
-each shard to the same number of bytes.
+it, and every shard grants the same fraction of its askers, as far as its room
+and what leaves it in the same round allow. Texts that are too large for one
+shard end up in several. Texts that are still scattered but would fit are dealt
+whole, and so are small ones that an overfull shard gives back; then unlinked
+documents, and copies of larger texts that had to be given back, fill each shard
+to the same number of bytes.
 """
 
 from __future__ import annotations
@@ -32,22 +34,44 @@ def _merged(cells: DataFrame) -> DataFrame:
     return cells.where("n > 0").groupBy("text_key", "size", "shard").agg(F.sum("n").alias("n"))
 
 
-def propagate(cells: DataFrame, shards: int, quota: float, rounds: int, seed: int) -> DataFrame:
-    """Cells (text_key, size, shard, n) after ``rounds`` of moves towards each text's main shard."""
-    for r in range(rounds):
-        # The main shard: where most copies are; ties go by a hash, so that no shard is favoured.
-        best = cells.groupBy("text_key").agg(F.max(F.struct("n", F.xxhash64("text_key", "shard", F.lit(seed)).alias("h"), "shard")).alias("m"))
+def grants(asking: list[tuple[int, int, int]], room: list[float]) -> list[float]:
+    """The largest shares of its askers (from, to, bytes) that every shard can grant when what leaves a shard counts as room."""
+    asked, share = [0.0] * len(room), [1.0] * len(room)
+    for _, to, b in asking:
+        asked[to] += b
+    for _ in range(1000):
+        leaves = [0.0] * len(room)
+        for at, to, b in asking:
+            leaves[at] += b * share[to]
+        new = [min(x, (r + out) / a) if a else x for x, r, out, a in zip(share, room, leaves, asked)]
+        still = max(x - y for x, y in zip(share, new)) < 1e-6
+        share = new
+        if still:
+            break
+    return share
+
+
+def propagate(cells: DataFrame, shards: int, quota: float, whole: float, rounds: int | None, seed: int) -> DataFrame:
+    """Cells (text_key, size, shard, n) after moves towards each text's main shard, until none moves or for ``rounds``.
+
+    Cells of at most ``whole`` bytes move whole, all those of a text or none. A move adds to the sum of the squares of n, so the rounds end.
+    """
+    r = 0
+    while rounds is None or r < rounds:
+        # The main shard: where most copies are; ties go by a hash, another one each round, so that no shard is favoured.
+        best = cells.groupBy("text_key").agg(F.max(F.struct("n", F.xxhash64("text_key", "shard", F.lit(seed + r)).alias("h"), "shard")).alias("m"))
         asked = cut(cells.join(best.select("text_key", F.col("m.shard").alias("to")), "text_key"))
-        asking = asked.where("shard <> to").groupBy("to").agg(F.sum(F.col("n") * F.col("size")).alias("b")).collect()
-        if not asking:
+        pairs = asked.where("shard <> to").groupBy("shard", "to").agg(F.sum(F.col("n") * F.col("size")).alias("b")).collect()
+        if not pairs:
             break
-        loads = _loads(cells, shards)
-        share = [1.0] * shards
-        for row in asking:
-            share[row["to"]] = max(0.0, min(1.0, (quota - loads[row["to"]]) / max(1, int(row["b"]))))
+        share = grants([(p["shard"], p["to"], int(p["b"])) for p in pairs], [max(0.0, quota - x) for x in _loads(cells, shards)])
         granted = F.get(F.array(*[F.lit(x) for x in share]), F.col("to"))
-        moves = F.least(F.col("n"), F.floor(F.col("n") * granted + _uniform("text_key", "shard", F.lit(seed + r)))).cast("long")
+        some = F.least(F.col("n"), F.floor(F.col("n") * granted + _uniform("text_key", "shard", F.lit(seed + r))))
+        every = F.when(_uniform("text_key", F.lit(seed + r)) < granted, F.col("n")).otherwise(0)
+        moves = F.when(F.col("n") * F.col("size") <= whole, every).otherwise(some).cast("long")
         moved = asked.withColumn("k", F.when(F.col("shard") == F.col("to"), F.lit(0)).otherwise(moves))
+        if moved.where("k > 0").isEmpty():
+            break
         cells = cut(
             _merged(
                 moved.select("text_key", "size", "shard", (F.col("n") - F.col("k")).alias("n")).unionByName(
@@ -55,9 +79,54 @@ def propagate(cells: DataFrame, shards: int, quota: float, rounds: int, seed: in
                 )
             )
         )
+        r += 1
     return cells
 
 
+def _dealt(cells: DataFrame, units: DataFrame, shards: int, fair: float, seed: int) -> DataFrame:
+    """``cells`` and the (text_key, size, n) of ``units``, each text whole, in the room that ``cells`` leave."""
+    key = F.col("text_key")
+    items = cut(units.groupBy("text_key", "size").agg(F.sum("n").alias("n")).select(key.alias("id"), (F.col("n") * F.col("size")).alias("size"), F.col("size").alias("one"), "n", key.alias("tag")))
+    room = [max(0.0, fair - x) for x in _loads(cells, shards)]
+    dealt = fill(items, room, items.count(), seed)
+    return cut(_merged(cells.unionByName(dealt.select(F.col("id").alias("text_key"), F.col("one").alias("size"), "shard", "n"))))
+
+
+def settle(cells: DataFrame, shards: int, fair: float, whole: float, limit: float, seed: int) -> DataFrame:
+    """Cells with scattered texts of up to ``whole`` bytes together, and without what shards hold above ``fair``.
+
+    An overfull shard gives back texts whole, small ones of up to ``limit``
+    bytes first: they are ordered by a hash in ``steps`` steps, and only the
+    last step that is reached is given back in part. Small ones are dealt anew.
+    """
+    steps = 1024
+    per = cells.groupBy("text_key").agg(F.sum(F.col("n") * F.col("size")).alias("bytes"), F.count(F.lit(1)).alias("parts"))
+    known = cut(cells.join(per.select("text_key", ((F.col("bytes") <= whole) & (F.col("parts") > 1)).alias("stray")), "text_key"))
+    cells = _dealt(known.where("not stray").drop("stray"), known.where("stray").drop("stray"), shards, fair, seed + 3)
+    step = F.pmod(F.xxhash64("text_key", F.lit(seed)), F.lit(steps)) + F.when(F.col("small"), 0).otherwise(steps)
+    held = cells.withColumn("small", F.col("n") * F.col("size") <= limit).withColumn("step", step.cast("int"))
+    sums = [{} for _ in range(shards)]
+    for r in held.groupBy("shard", "step").agg(F.sum(F.col("n") * F.col("size")).alias("b")).collect():
+        sums[r["shard"]][r["step"]] = int(r["b"])
+    last, part = [], []
+    for by in sums:
+        need, at, f = sum(by.values()) - fair, -1, 0.0
+        for k in sorted(by):
+            if need <= 0:
+                break
+            at, f = k, min(1.0, need / by[k])
+            need -= by[k]
+        last.append(at)
+        part.append(f)
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), F.col("shard"))
+    share = F.when(F.col("step") < pick(last), 1.0).when(F.col("step") == pick(last), pick(part)).otherwise(0.0)
+    u = _uniform("text_key", "shard", F.lit(seed + 1))
+    back = F.when(F.col("small"), F.when(u < share, F.col("n")).otherwise(0)).otherwise(F.least(F.col("n"), F.floor(F.col("n") * share + u)))
+    held = cut(held.withColumn("back", back.cast("long")))
+    kept = held.select("text_key", "size", "shard", (F.col("n") - F.col("back")).alias("n")).where("n > 0")
+    return _dealt(kept, held.where("small and back > 0").select("text_key", "size", "n"), shards, fair, seed + 2)
+
+
 def fill(free: DataFrame, room: list[float], n_free: int, seed: int, block_rows: int = 8192) -> DataFrame:
     """Adds ``shard`` to (id, size, ...) rows so that shard s gains bytes in proportion to ``room[s]``.
 
@@ -89,7 +158,7 @@ def fill(free: DataFrame, room: list[float], n_free: int, seed: int, block_rows:
 
 
 def shard_documents(
-    df: DataFrame, text: str = "text", id_col: str = "doc_id", shards: int = 16, rounds: int = 4, slack: float = 0.02, seed: int = 5
+    df: DataFrame, text: str = "text", id_col: str = "doc_id", shards: int = 16, rounds: int | None = None, slack: float = 0.02, seed: int = 5
 ) -> DataFrame:
     """One row per input row: ``id_col, size, text_crc32, law, shard, slot, grown_shard``.
 
@@ -113,12 +182,10 @@ def shard_documents(
     linked_keys = cells.groupBy("text_key").agg(F.sum("n").alias("copies")).where("copies > 1").select("text_key")
     cells = cut(cells.join(linked_keys, "text_key").select("text_key", "size", "shard", "n"))
     fair = total / shards
-    cells = propagate(cells, shards, fair * (1 - slack), rounds, seed)
-    # An overfull shard gives back the same fraction of every cell.
-    loads = _loads(cells, shards)
-    keep = F.get(F.array(*[F.lit(min(1.0, fair * (1 - slack) / x) if x else 1.0) for x in loads]), F.col("shard"))
-    kept = cells.withColumn("n", F.least(F.col("n"), F.floor(F.col("n") * keep + _uniform("text_key", "shard", F.lit(seed + 99)))).cast("long"))
-    kept = cut(kept.where("n > 0"))
+    whole = fair / 4
+    cells = propagate(cells, shards, fair * (1 - slack), whole, rounds, seed)
+    # Small texts: so that the blocks in which they are dealt leave shards even within the slack.
+    kept = settle(cells, shards, fair, whole, slack * fair / max(1, -(-n_rows // 8192)) ** 0.5, seed + 99)
     loads = _loads(kept, shards)
     room = [max(0.0, fair - x) for x in loads]
     # Which copy goes where: copies are numbered within their text, and shard after shard takes the next n.
