@@ -6,18 +6,21 @@ import re
 from dataclasses import dataclass
 from html import unescape
 
-#: Elements that never render, dropped with all they hold.
-RAW = ("script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea")
+#: Elements that hold no text of the page, dropped with all they hold; of these svg may be empty.
+RAW = ("script", "style", "template", "noscript", "svg", "iframe", "object", "textarea")
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements within a line of text; every other tag ends the block.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img br"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msup msub msubsup munder mover munderover mmultiscripts mprescripts"
+    " mtable mtr mlabeledtr mtd semantics annotation annotation-xml".split()
 )
 #: Start tags that close an open paragraph, besides headings.
 CLOSES_P = frozenset("p div ul ol dl table section article nav header footer aside form blockquote pre hr main figure fieldset address details h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"'/]++|\"[^\"]*\"|'[^']*'|/(?!>))*+/>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
