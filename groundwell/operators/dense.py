@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,33 +26,36 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str =
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_top_k_batched(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """The same rows by one matrix product per Arrow batch: each batch sends on only its own best k a query."""
+def dense_top_k_batched(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", vector: str = "embedding", digits: int = 6, block_queries: int = 10_000) -> DataFrame:
+    """The same rows by one matrix product per Arrow batch and block of queries: each product sends on only its own best k a query.
+
+    The driver holds one block of ``block_queries`` at a time; each block passes over all vectors.
+    """
     import numpy as np
 
-    rows = queries.select("query_id", vector).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 queries: use dense_top_k")
-    ids = [r[0] for r in rows]
-    q = np.asarray([r[1] for r in rows], np.float64)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            if not batch.num_rows or not ids:
-                continue
-            at = np.asarray(batch.column(0).to_pylist())
-            flat = batch.column(1)
-            m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            s = np.round(q @ m.T, digits)
-            for i, row in zip(ids, s):
-                best = np.lexsort((at, -row))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(best)), pa.array(at[best]), pa.array(row[best])], ["query_id", "doc_id", "score"])
+    def scorer(ids: list, q: np.ndarray):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                if not batch.num_rows or not ids:
+                    continue
+                at = np.asarray(batch.column(0).to_pylist())
+                flat = batch.column(1)
+                m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                s = np.round(q @ m.T, digits)
+                for i, row in zip(ids, s):
+                    best = np.lexsort((at, -row))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(best)), pa.array(at[best]), pa.array(row[best])], ["query_id", "doc_id", "score"])
+
+        return run
 
     d = docs.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(vector).alias("v"))
     kinds = dict(d.dtypes)["doc_id"], dict(queries.dtypes)["query_id"]
-    near = d.mapInArrow(run, f"query_id {kinds[1]}, doc_id {kinds[0]}, score double")
+    schema, near, rows = f"query_id {kinds[1]}, doc_id {kinds[0]}, score double", None, queries.select("query_id", vector).toLocalIterator()
+    while (block := list(islice(rows, block_queries))) or near is None:
+        part = d.mapInArrow(scorer([r[0] for r in block], np.asarray([r[1] for r in block], np.float64)), schema)
+        near = part if near is None else near.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
