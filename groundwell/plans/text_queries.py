@@ -184,6 +184,6 @@ def salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from groundwell.functions.udfs import highlight_segments as pieces
 
-    quotes = F.slice(F.filter(F.split("text", "[.\n] ?"), lambda x: F.length(x) > 3), 1, 3)
+    quotes = F.filter(F.split("text", "[.\n] ?"), lambda x: F.length(x) > 3)
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(pieces(F.col("text"), quotes)).alias("s"))
     return d.groupBy("doc_id").agg(F.count_if("s.hit").alias("hits"), F.sum(F.length("s.text")).alias("chars"))
