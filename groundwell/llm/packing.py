@@ -8,6 +8,7 @@ packed by itself, the tree finding the first open bin with room in O(log n).
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,18 @@ from groundwell.llm.common import cut
 
 #: Distinct words, and stems of words, in one generation of what a worker remembers: about 60 MB each.
 REMEMBERED = 300_000
-#: A word that the tokenizer splits into its letters, lower-cased, and its closing marks.
+#: The definition of a tokenizer that lower-cases and drops white space, so that a text's ids are those of its words in a row.
+WORD_WISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: A word that such a tokenizer splits into its letters, lower-cased, and its closing marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$&#|]*)")
 #: Texts tokenised together, and the characters of a long text taken at once.
 AT_ONCE, CHUNK = 256, 1 << 20
@@ -72,8 +84,29 @@ class Remembered(dict):
         return {n for n in asked if n not in old}
 
 
+def word_wise(definition: str) -> bool:
+    """Whether words can be tokenised apart: the definition is as in ``WORD_WISE`` and no added token holds or strips white space."""
+    told = json.loads(definition)
+    plain = all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])) for t in told["added_tokens"])
+    return plain and all(told[k] == v for k, v in WORD_WISE.items())
+
+
+class TextIds:
+    """Texts to ids, each text tokenised whole: right for any tokenizer."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """The packed ids of each text, with ``end_id`` last."""
+        import numpy as np
+
+        # one at a time: what the library keeps beside the ids of a text is many times the text
+        return [np.asarray([*self.tokenizer.encode(t or "", add_special_tokens=False).ids, end_id], "<u4").tobytes() for t in texts]
+
+
 class WordIds(Remembered):
-    """Word to the packed ids of its tokens. The tokenizer drops white space, so a text's ids are its words' in a row.
+    """Word to the packed ids of its tokens, for a tokenizer that is ``word_wise``: a text's ids are its words' in a row.
 
     Unknown words are tokenised together, parted by a mark that is one token of
     its own; a call for each word would cost several times the tokenising.
@@ -82,12 +115,9 @@ class WordIds(Remembered):
     #: Symbols to try as the mark.
     MARKS = "\u2665\u2605\u2022\u2122\u00ae\u25cf\u2192\u2713\u266a\u00a9"
 
-    def __init__(self, tokenizer_path: str) -> None:
-        from tokenizers import Tokenizer
-
+    def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.tokenizer = tokenizer
         self.mark: int | None = None
         self.stems = Remembered()
         found = ((m, self._ids(m)) for m in self.MARKS)
@@ -152,13 +182,20 @@ class WordIds(Remembered):
         return [b"".join(ids) for ids in found]
 
 
-_AT_WORK: dict[str, WordIds] = {}
+_AT_WORK: dict[str, WordIds | TextIds] = {}
 
 
-def word_ids(tokenizer_path: str) -> WordIds:
-    """This worker process's memory for a tokenizer, kept from task to task."""
+def encoder(tokenizer_path: str) -> WordIds | TextIds:
+    """This worker process's encoder for a tokenizer, kept from task to task.
+
+    The ids are those of ``Tokenizer.encode`` as loaded: the strings of its
+    added tokens, where a text holds them, give those tokens.
+    """
     if tokenizer_path not in _AT_WORK:
-        _AT_WORK[tokenizer_path] = WordIds(tokenizer_path)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        _AT_WORK[tokenizer_path] = (WordIds if word_wise(tokenizer.to_str()) else TextIds)(tokenizer)
     return _AT_WORK[tokenizer_path]
 
 
@@ -170,12 +207,12 @@ def pieces(df: DataFrame, text: str, id_col: str, tokenizer_path: str, seq_len:
 
         import pyarrow as pa
 
-        words = word_ids(tokenizer_path)
+        known = encoder(tokenizer_path)
         step = 4 * seq_len
         for batch in batches:
             counts, crcs = [], []
             for at in range(0, batch.num_rows, AT_ONCE):
-                for ids in words.encode(batch.column(1).slice(at, AT_ONCE).to_pylist(), end_id):
+                for ids in known.encode(batch.column(1).slice(at, AT_ONCE).to_pylist(), end_id):
                     counts.append(len(ids) // 4)
                     crcs.append([zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["id", "tokens", "crcs"])

@@ -217,7 +217,6 @@ def test_packing_covers_every_id(spark):
 
     path = tokenizer_path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     d = docs(spark, [*TEXTS, "♥ a ♥b <|endoftext|> Größe!! it's ½", *(f"doc {i} " * i for i in range(40))], 1)
     pieces, seqs = defaultdict(list), defaultdict(list)
     for r in packing.pack(d, path, group_docs=16).collect():
