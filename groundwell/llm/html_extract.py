@@ -12,21 +12,37 @@ def main_texts(weights: dict, pages: list[str | None], threshold: float = 0.5) -
     import numpy as np
 
     from groundwell.llm.html_blocks import blocks
-    from groundwell.llm.html_lstm import features, main_text_odds
+    from groundwell.llm.html_lstm import main_text_odds
 
     found = [blocks(x or "") for x in pages]
-    odds = main_text_odds(weights, [features(x) for x in found])
+    odds = main_text_odds(weights, found)
     least = float(np.log(threshold / (1 - threshold)))
     return ["\n".join(b.text for b, z in zip(x, zs) if z > least) for x, zs in zip(found, odds)]
 
 
-def extract_main_text(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), threshold: float = 0.5, at_once: int = 128) -> DataFrame:
+def handfuls(pages: list[str | None], at_once: int, chars_at_once: int) -> Iterator[list[str | None]]:
+    """The pages in order, ``at_once`` together or fewer where they are long; a page that is longer by itself is alone."""
+    held, size = [], 0
+    for x in pages:
+        if held and (len(held) == at_once or size + len(x or "") > chars_at_once):
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x or "")
+    if held:
+        yield held
+
+
+def extract_main_text(
+    df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), threshold: float = 0.5, at_once: int = 128, chars_at_once: int = 1 << 20
+) -> DataFrame:
     """One row per input row: the ``keep`` columns, ``text`` and ``n_chars`` (its code points).
 
     Blocks labelled main text are joined in page order by a newline; a null,
     empty or wholly boilerplate page gives the empty text. Unclosed and
-    misnested tags are mended as browsers do. Repeated rows are pages of their
-    own, an empty table gives no rows, and columns not in ``keep`` are dropped.
+    misnested tags are mended as browsers do; time and memory grow with a page's
+    length, whatever its markup. Repeated rows are pages of their own, an empty
+    table gives no rows, and columns not in ``keep`` are dropped.
     """
     from groundwell.llm.html_lstm import load
 
@@ -37,9 +53,11 @@ def extract_main_text(df: DataFrame, html: str = "html", keep: tuple[str, ...] =
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                part = batch.slice(at, at_once)
-                texts = main_texts(weights, part.column(len(keep)).to_pylist(), threshold)
+            at = 0
+            for pages in handfuls(batch.column(len(keep)).to_pylist(), at_once, chars_at_once):
+                part = batch.slice(at, len(pages))
+                at += len(pages)
+                texts = main_texts(weights, pages, threshold)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 
     kinds = dict(slim.dtypes)

@@ -12,14 +12,16 @@ from pathlib import Path
 
 import numpy as np
 
-from groundwell.llm.html_blocks import Block, blocks
+from groundwell.llm.html_blocks import PATH_BITS, Block, blocks
 
-PATH_DIM, WORD_DIM, NUMBERS, EMBED, HIDDEN = 384, 96, 4, 20, 12
+PATH_DIM, WORD_DIM, NUMBERS, EMBED, HIDDEN = PATH_BITS, 96, 4, 20, 12
+#: Blocks whose sparse features are laid out at once.
+SLICE = 4096
 WEIGHTS = Path(__file__).with_name("html_lstm.npz")
 
 
 class Buckets(dict):
-    """A mark's or word's hashed bucket, remembered for a bounded number of them."""
+    """A word's hashed bucket, remembered for a bounded number of them."""
 
     def __init__(self, size: int, most: int = 200_000) -> None:
         self.size, self.most = size, most
@@ -31,17 +33,23 @@ class Buckets(dict):
         return at
 
 
-_MARKS, _WORDS = Buckets(PATH_DIM), Buckets(WORD_DIM)
+_WORDS = Buckets(WORD_DIM)
 
 
 def features(page: list[Block]) -> np.ndarray:
     """A row per block: hashed marks of its tag path, hashed words, and four lengths and ratios."""
     x = np.zeros((len(page), PATH_DIM + WORD_DIM + NUMBERS), np.float32)
-    for row, b in zip(x, page):
-        row[[_MARKS[mark] for mark in b.path]] = 1.0
+    paths = np.frombuffer(b"".join(b.path.to_bytes(PATH_DIM // 8, "little") for b in page), np.uint8).reshape(len(page), -1)
+    x[:, :PATH_DIM] = np.unpackbits(paths, axis=1, bitorder="little")
+    rows, at = [], []
+    for i, b in enumerate(page):
         found = b.text.lower().split()
-        row[PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([_WORDS[w] for w in found], minlength=WORD_DIM) / max(1, len(found))
-        row[-4:] = np.log1p(len(b.text)) / 8, np.log1p(len(found)) / 6, b.linked / max(1, len(b.text)), len(b.path) / 20
+        at += map(_WORDS.__getitem__, found)
+        rows.append((len(found), len(b.text), b.linked, b.marks))
+    n, chars, linked, marks = np.asarray(rows, np.float64).reshape(-1, 4).T
+    cells = np.repeat(np.arange(len(page)) * WORD_DIM, n.astype(np.int64)) + np.asarray(at, np.int64)
+    x[:, PATH_DIM:-NUMBERS] = np.bincount(cells, minlength=len(page) * WORD_DIM).reshape(-1, WORD_DIM) / np.maximum(1, n)[:, None]
+    x[:, -4:] = np.stack((np.log1p(chars) / 8, np.log1p(n) / 6, linked / np.maximum(1, chars), marks / 20), axis=1)
     return x
 
 
@@ -108,17 +116,63 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray) -> tuple
     return joint @ p["out"] + p["ob"], (e, ft, bt, joint)
 
 
-def main_text_odds(p: dict[str, np.ndarray], pages: list[np.ndarray], budget: int = 4096) -> list[np.ndarray]:
-    """Log odds of each block of each page; pages of like length run together, about ``budget`` blocks at once."""
+def embedded(p: dict[str, np.ndarray], page: list[Block]) -> np.ndarray:
+    """(blocks, EMBED); the wide sparse rows exist for ``SLICE`` blocks at a time."""
+    out = np.empty((len(page), EMBED), np.float32)
+    for at in range(0, len(page), SLICE):
+        out[at : at + SLICE] = np.tanh(features(page[at : at + SLICE]) @ p["in"] + p["ib"])
+    return out
+
+
+def _run(p: dict[str, np.ndarray], e: np.ndarray) -> np.ndarray:
+    """(2, T, B, HIDDEN) states of both directions over (2, T, B, EMBED), side by side and without a tape.
+
+    A gate is half a hyperbolic tangent of half its input plus a half, so one
+    call serves all four gates of both directions.
+    """
+    _, t_max, n, _ = e.shape
+    half = np.full(4 * HIDDEN, 0.5, e.dtype)
+    half[3 * HIDDEN :] = 1.0
+    z = np.stack([(e[k] @ p[w] + p[b]) * half for k, (w, b) in enumerate((("fw", "fb"), ("bw", "bb")))], axis=1)
+    u = np.stack([p["fu"] * half, p["bu"] * half])
+    out = np.empty((t_max, 2, n, HIDDEN), e.dtype)
+    h, c = np.zeros((2, n, HIDDEN), e.dtype), np.zeros((2, n, HIDDEN), e.dtype)
+    s, new = np.empty((2, n, 4 * HIDDEN), e.dtype), np.empty((2, n, HIDDEN), e.dtype)
+    gates, i, f, o, g = s[..., : 3 * HIDDEN], s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN : 3 * HIDDEN], s[..., 3 * HIDDEN :]
+    for t in range(t_max):
+        np.matmul(h, u, out=s)
+        np.add(s, z[t], out=s)
+        np.tanh(s, out=s)
+        np.multiply(gates, 0.5, out=gates)
+        np.add(gates, 0.5, out=gates)
+        np.multiply(c, f, out=c)
+        np.multiply(i, g, out=new)
+        np.add(c, new, out=c)
+        h = out[t]
+        np.tanh(c, out=h)
+        np.multiply(h, o, out=h)
+    return out.transpose(1, 0, 2, 3)
+
+
+def main_text_odds(p: dict[str, np.ndarray], pages: list[list[Block]], budget: int = 4096) -> list[np.ndarray]:
+    """Log odds of each block of each page; pages of like length run together, about ``budget`` blocks at once.
+
+    Every page starts at the first step in either direction, so what pads a
+    shorter one comes after its end and is never read.
+    """
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
     group: list[int] = []
 
     def run() -> None:
-        z, _ = _forward(p, *_padded([pages[i] for i in group]))
-        for j, i in enumerate(group):
-            out[i] = z[: len(pages[i]), j]
-
-    for i in sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i])):
+        made = [embedded(p, pages[i]) for i in group]
+        e = np.zeros((2, max(map(len, made)), len(group), EMBED), np.float32)
+        for j, x in enumerate(made):
+            e[0, : len(x), j], e[1, : len(x), j] = x, x[::-1]
+        states = _run(p, e)
+        for j, (i, x) in enumerate(zip(group, made)):
+            out[i] = np.concatenate((states[0, : len(x), j], states[1, : len(x), j][::-1], x), axis=1) @ p["out"] + p["ob"]
+
+    for i in sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i])):
         if group and len(pages[i]) * (len(group) + 1) > budget:
             run()
             group = []
@@ -282,15 +336,15 @@ class PageMaker:
         return "<html><body>" + "".join(map(self.chrome, before)) + body + "".join(map(self.chrome, after)) + end
 
 
-def labelled(html: str) -> tuple[np.ndarray, np.ndarray]:
+def labelled(html: str) -> tuple[list[Block], np.ndarray]:
     page = blocks(html)
     y = np.array([PageMaker.KEEP in b.text for b in page], np.float64)
     for b in page:
         b.text = b.text.replace(PageMaker.KEEP, "")
-    return features(page), y
+    return page, y
 
 
-def accuracy(p: dict[str, np.ndarray], pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
+def accuracy(p: dict[str, np.ndarray], pages: list[tuple[list[Block], np.ndarray]]) -> tuple[float, float]:
     """(share of blocks, share of whole pages) labelled right."""
     odds = main_text_odds({k: v.astype(np.float32) for k, v in p.items()}, [x for x, _ in pages])
     right = [(z > 0) == (y > 0.5) for z, (_, y) in zip(odds, pages)]
@@ -300,7 +354,7 @@ def accuracy(p: dict[str, np.ndarray], pages: list[tuple[np.ndarray, np.ndarray]
 if __name__ == "__main__":
     maker = PageMaker(1)
     made = [x for x in (labelled(maker.page()) for _ in range(5000)) if len(x[0])]
-    weights = train(made)
+    weights = train([(features(x), y) for x, y in made])
     held = PageMaker(2)
     print("held out:", accuracy(weights, [x for x in (labelled(held.page()) for _ in range(1000)) if len(x[0])]))
     np.savez_compressed(WEIGHTS, **weights)
