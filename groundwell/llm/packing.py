@@ -9,6 +9,7 @@ packed by itself, the tree finding the first open bin with room in O(log n).
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 
 from groundwell.llm.common import cut
 
-#: Distinct words, and stems of words, in one generation of what a worker remembers: about 60 MB each.
-REMEMBERED = 300_000
 #: The definition of a tokenizer that lower-cases and drops white space, so that a text's ids are those of its words in a row.
 WORD_WISE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -31,9 +30,13 @@ WORD_WISE = {
     },
 }
 #: A word that such a tokenizer splits into its letters, lower-cased, and its closing marks.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$&#|]*)")
-#: Texts tokenised together, and the characters of a long text taken at once.
-AT_ONCE, CHUNK = 256, 1 << 20
+PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?%*$&#|]*)$"
+#: Parts of words that a worker remembers: about 30 MB.
+REMEMBERED = 500_000
+#: Characters of texts tokenised together, and of a long text taken at once.
+AT_ONCE, CHUNK = 1 << 23, 1 << 20
+#: Rows of a batch whose texts and ids are held at once.
+ROWS = 2048
 #: Sequence ids of one group lie in a block of this size.
 GROUP_SPAN = 1 << 40
 
@@ -67,21 +70,13 @@ def _chunks(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-class Remembered(dict):
-    """A bounded memory of two generations: what was not asked for during a whole generation is forgotten."""
+def gather(values, starts, lengths, codes):
+    """The runs ``values[starts[c] : starts[c] + lengths[c]]`` of all codes in a row, and where each ends."""
+    import numpy as np
 
-    def __init__(self) -> None:
-        self.old: dict[str, bytes] = {}
-
-    def recall(self, names: set[str]) -> set[str]:
-        """Brings back what the older generation knows of the names; those that nobody knows."""
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        # name by name: set arithmetic with a view of the keys would walk the whole memory
-        asked, old = [n for n in names if n not in self], self.old
-        self.update({n: old[n] for n in asked if n in old})
-        return {n for n in asked if n not in old}
+    n = lengths[codes]
+    ends = np.cumsum(n)
+    return values[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 def word_wise(definition: str) -> bool:
@@ -105,81 +100,133 @@ class TextIds:
         return [np.asarray([*self.tokenizer.encode(t or "", add_special_tokens=False).ids, end_id], "<u4").tobytes() for t in texts]
 
 
-class WordIds(Remembered):
-    """Word to the packed ids of its tokens, for a tokenizer that is ``word_wise``: a text's ids are its words' in a row.
+class WordIds:
+    """Texts to ids for a tokenizer that is ``word_wise``: a text's ids are its words' in a row.
 
-    Unknown words are tokenised together, parted by a mark that is one token of
-    its own; a call for each word would cost several times the tokenising.
+    Texts are taken by the handful. Their words are numbered, each different
+    word is cut into letters and closing marks, and each different part is
+    tokenised once; the rest is array arithmetic. Parts are tokenised together,
+    parted by a mark that is one token of its own, since a call for each would
+    cost several times the tokenising. Up to ``REMEMBERED`` parts are kept for
+    the next handfuls; when there are more, only the last handful's are.
     """
 
     #: Symbols to try as the mark.
     MARKS = "\u2665\u2605\u2022\u2122\u00ae\u25cf\u2192\u2713\u266a\u00a9"
 
     def __init__(self, tokenizer) -> None:
-        super().__init__()
+        import numpy as np
+        import pyarrow as pa
+
         self.tokenizer = tokenizer
-        self.mark: int | None = None
-        self.stems = Remembered()
-        found = ((m, self._ids(m)) for m in self.MARKS)
-        self.sign, self.mark = next(((m, int(ids[0])) for m, ids in found if len(ids) == 1), ("", None))
+        self.parts, self.ids, none = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.lengths = none, none
+        found = ((m, tokenizer.encode(m, add_special_tokens=False).ids) for m in self.MARKS)
+        self.sign, self.mark = next(((m, ids[0]) for m, ids in found if len(ids) == 1), ("", -1))
 
-    def _ids(self, *texts: str):
+    def _ids(self, texts: list[str]):
         """The ids of the texts in a row, parted by the mark's."""
         import numpy as np
 
         out = []
-        for e in self.tokenizer.encode_batch_fast([*texts], add_special_tokens=False):
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             out += e.ids
-            out.append(self.mark or 0)
-        return np.asarray(out[:-1], "<u4")
+            out.append(self.mark)
+        return np.asarray(out[:-1], np.int64)
 
-    def _tokenised(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def tokenised(self, parts: list[str]):
+        """The ids of all parts, and each part's start and number of ids."""
         import numpy as np
 
-        apart = [w for w in words if not self.sign or self.sign in w]
-        plain = [w for w in words if self.sign and self.sign not in w]
+        apart = [i for i, x in enumerate(parts) if not self.sign or self.sign in x]
+        plain = [i for i, x in enumerate(parts) if self.sign and self.sign not in x]
+        starts, lengths, ids, size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [], 0
         for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            ids = self._ids(*(f" {self.sign} ".join(part[i : i + 50]) for i in range(0, len(part), 50)))
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            if len(ends) != len(part):  # some word yields the mark itself
-                apart += part
+            some = plain[at : at + 20_000]
+            made = self._ids([f" {self.sign} ".join(parts[i] for i in some[k : k + 50]) for k in range(0, len(some), 50)])
+            ends = np.append(np.flatnonzero(made == self.mark), len(made))
+            if len(ends) != len(some):  # some part yields the mark itself
+                apart += some
                 continue
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(part, ends):
-                yield w, raw[4 * start : 4 * end]
-                start = end + 1
-        for w in apart:
-            yield w, self._ids(w).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Adds the words: those of letters and closing marks by their lower-cased letters, others whole."""
-        words, stems = self.recall(words), self.stems
-        taken = {w: (m[1].lower(), m[2]) for w in words if (m := PLAIN.fullmatch(w))}
-        new = stems.recall({x for pair in taken.values() for x in pair})
-        stems.update(self._tokenised([*new]))
-        self.update({w: stems[a] + stems[b] for w, (a, b) in taken.items()})
-        self.update(self._tokenised([w for w in words if w not in taken]))
+            begins = np.append(0, ends[:-1] + 1)
+            starts[some], lengths[some] = size + begins, ends - begins
+            ids.append(made)
+            size += len(made)
+        for i in apart:
+            made = np.asarray(self.tokenizer.encode(parts[i], add_special_tokens=False).ids, np.int64)
+            starts[i], lengths[i] = size, len(made)
+            ids.append(made)
+            size += len(made)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int64), starts, lengths
+
+    def looked_up(self, parts):
+        """The ids of all different ``parts`` known or not, and each part's start and number of ids."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(parts, self.parts)
+        new = at.is_null()
+        fresh = parts.filter(new)
+        ids, starts, lengths = self.tokenised(fresh.to_pylist())
+        where = np.array(at.fill_null(0), np.int64)
+        where[new.to_numpy(zero_copy_only=False)] = len(self.parts) + np.arange(len(fresh))
+        self.ids, self.starts, self.lengths = np.append(self.ids, ids), np.append(self.starts, starts + len(self.ids)), np.append(self.lengths, lengths)
+        self.parts = pa.concat_arrays([self.parts, fresh])
+        starts, lengths = self.starts[where], self.lengths[where]
+        if len(self.parts) > REMEMBERED:
+            self.ids, ends = gather(self.ids, starts, lengths, np.arange(len(parts)))
+            starts = ends - lengths
+            self.parts, self.starts, self.lengths = parts, starts, lengths
+        return self.ids, starts, lengths
+
+    def _handful(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = words.flatten().dictionary_encode()
+        different = numbered.dictionary
+        cut_up = pc.extract_regex(different, PLAIN)
+        stems = pc.if_else(cut_up.is_valid(), pc.utf8_lower(pc.struct_field(cut_up, "stem")), different)
+        marks = pc.if_else(cut_up.is_valid(), pc.struct_field(cut_up, "marks"), "")
+        parts = pa.concat_arrays([stems, marks.cast(stems.type)]).dictionary_encode()
+        ids, starts, lengths = self.looked_up(parts.dictionary)
+        # the parts of each different word, then the words of each text
+        pairs = np.asarray(parts.indices).reshape(2, -1).T.ravel()
+        ids, ends = gather(ids, starts, lengths, pairs)
+        ends = ends[1::2]
+        starts = np.append(0, ends[:-1]) if len(ends) else ends
+        ids, ends = gather(ids, starts, ends - starts, np.asarray(numbered.indices))
+        last = np.cumsum(np.asarray(pc.list_value_length(words)))
+        ends = np.append(0, ends)[last]
+        packed, out, at = ids.astype("<u4").tobytes(), [], 0
+        for end in (4 * ends).tolist():
+            out.append(packed[at:end])
+            at = end
+        return out
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """The packed ids of each text, with ``end_id`` last."""
-        found, gaps = [], []  # ids of every text's words, and where they are not known yet
-        for t in texts:
-            ids: list = []
+        found: list[list[bytes]] = [[] for _ in texts]
+        held, owners, size = [], [], 0
+
+        def work() -> None:
+            for i, ids in zip(owners, self._handful(held) if held else ()):
+                found[i].append(ids)
+
+        for i, t in enumerate(texts):
             for part in _chunks(t or ""):
-                words, base = part.replace("\n", " ").split(" "), len(ids)
-                at = base
-                ids += map(self.get, words)
-                for _ in range(ids.count(None)):
-                    i = ids.index(None, at)
-                    gaps.append((ids, i, words[i - base]))
-                    ids[i], at = b"", i + 1
-            ids.append(end_id.to_bytes(4, "little"))
-            found.append(ids)
-        self.learn({w for _, _, w in gaps})
-        for ids, i, w in gaps:
-            ids[i] = self[w]
-        return [b"".join(ids) for ids in found]
+                if size + len(part) > AT_ONCE:
+                    work()
+                    held, owners, size = [], [], 0
+                held.append(part)
+                owners.append(i)
+                size += len(part)
+        work()
+        end = end_id.to_bytes(4, "little")
+        return [b"".join([*x, end]) for x in found]
 
 
 _AT_WORK: dict[str, WordIds | TextIds] = {}
@@ -192,6 +239,8 @@ def encoder(tokenizer_path: str) -> WordIds | TextIds:
     added tokens, where a text holds them, give those tokens.
     """
     if tokenizer_path not in _AT_WORK:
+        # a task has one core; the library's own threads would take those of other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -211,8 +260,8 @@ def pieces(df: DataFrame, text: str, id_col: str, tokenizer_path: str, seq_len:
         step = 4 * seq_len
         for batch in batches:
             counts, crcs = [], []
-            for at in range(0, batch.num_rows, AT_ONCE):
-                for ids in known.encode(batch.column(1).slice(at, AT_ONCE).to_pylist(), end_id):
+            for at in range(0, batch.num_rows, ROWS):
+                for ids in known.encode(batch.column(1).slice(at, ROWS).to_pylist(), end_id):
                     counts.append(len(ids) // 4)
                     crcs.append([zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["id", "tokens", "crcs"])
