@@ -10,23 +10,59 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and the ASCII controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Groups of at least one row in so many are few enough to broadcast: as many groups at most.
+HOT_SHARE = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once on shared storage and forget how it was made.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when that is unset (tests,
-    a laptop) does it fall back to a temporary folder of the driver's machine.
-    The files are replicated by the store, so a lost executor costs a re-read.
+    Uses the cluster's ``spark.checkpoint.dir``. Where that is unset, a local
+    session (tests, a laptop) gets a temporary folder; on a cluster it is an
+    error, since executors do not share such folders. The files are replicated
+    by the store, so a lost executor costs a re-read.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groundwell-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="groundwell-"))
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a ``cut`` table that nothing will read again, so that rounds do not pile up on disk."""
+    plan = df._jdf.queryExecution().logical()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values: Sequence[str], size: str, n_rows: int, spread_by: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the ``values`` of their group, of which ``groups`` has one row per ``keys`` and its ``size``.
+
+    Groups of at least one row in ``HOT_SHARE`` are joined by broadcast, there
+    being that many of them at most; their rows do not meet in a task but are
+    dealt by ``spread_by``. So no task gets more than a small group by key.
+    """
+    is_hot = F.col(size) * HOT_SHARE >= n_rows
+    names = {k: f"__{k}" for k in keys}
+    value = F.struct(*values)
+    hot = groups.where(is_hot).select(*[F.col(k).alias(f"__h{k}") for k in keys], value.alias("__hot"))
+    cold = groups.where(~is_hot).select(F.lit(0).cast("long").alias("__lane"), *[F.col(k).alias(names[k]) for k in keys], value.alias("__cold"))
+    met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__h{k}") for k in keys], "left")
+    # rows of hot groups find nothing in their lanes, of which there are many
+    lane = F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(spread_by), F.lit(1 << 40)) + 1)
+    out = met.withColumn("__at", lane).join(cold, [F.col("__at") == F.col("__lane"), *[F.col(k) == F.col(names[k]) for k in keys]], "left")
+    out = out.withColumn("__got", F.coalesce("__hot", "__cold")).select(*rows.columns, "__got")
+    out = out.where("__got is not null") if how == "inner" else out
+    return out.select(*rows.columns, *[F.col("__got")[v].alias(v) for v in values])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

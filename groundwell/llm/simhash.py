@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import cut
+from groundwell.llm.common import cut, release, with_groups
 from groundwell.llm.graph import components
 
 BITS = 64
@@ -73,11 +73,21 @@ def ring(m: int, chain: int, t: int, bits: int = BITS) -> tuple[list[int], list[
     return masks, prefixes
 
 
+#: Chain lengths in use: a longer chain agrees on more segments at more places.
+CHAINS = (4, 6, 8)
+#: Comparisons in one key beyond which its members are split by keys of the next longer chain.
+HEAVY = 1 << 20
+#: Rows to drop, as (id, hash) pairs, that are sent to every executor; more are joined by a shuffle.
+GONE_BROADCAST = 1 << 20
+#: Fingerprints outside a key's main component that one task compares with the rest of the key.
+SALTED = 1024
+
+
 def ring_shape(n: int, m: int = 9, t: int = 4, wanted: float = 1.0) -> tuple[int, int]:
-    """(m, chain): the shortest chain whose keys have about ``wanted`` chance matches among n fingerprints."""
-    for chain in (4, 6, 8):
+    """(m, chain): the shortest chain whose keys have about ``wanted`` chance matches among n fingerprints of even bits."""
+    for chain in CHAINS:
         agreed = chain - chain * t // m
-        if n <= wanted * 2 ** (BITS * agreed / m) or chain == 8:
+        if n <= wanted * 2 ** (BITS * agreed / m) or chain == CHAINS[-1]:
             return m, chain
     raise AssertionError
 
@@ -86,7 +96,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(nodes: DataFrame, n: int, t: int = 4, m: int = 9, chain: int | None = None) -> DataFrame:
+def _keys(masks: list[int]) -> Column:
+    """A (p, k) pair for each mask: its number and the bits of ``fp`` it leaves."""
+    return F.array(*[F.struct(F.lit(p).alias("p"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("k")) for p, x in enumerate(masks)])
+
+
+def _near(a: Column, b: Column, prefixes: list[list[int]], t: int) -> Column:
+    """Whether ``a`` and ``b`` keep all budgets of the chain of key number ``p``; the last budget is the full distance."""
+    m, differ, ok = len(prefixes[0]), a.bitwiseXOR(b), F.lit(True)
+    for l in range(m):
+        mask = F.get(F.array(*[F.lit(_signed(x[l])) for x in prefixes]), F.col("p")) if l < m - 1 else F.lit(-1)
+        ok &= F.bit_count(differ.bitwiseAND(mask)) <= (l + 1) * t // m
+    return ok
+
+
+def _crowds(keyed: DataFrame, n_keyed: int) -> DataFrame:
+    """(p, k, fp, hub) of the keys that two fingerprints or more share; ``hub`` is the key's most frequent one."""
+    crowd = keyed.groupBy("p", "k").agg(F.max(F.struct("n", "fp")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("p", "k", F.col("hub.fp").alias("hub"), "size")
+    return cut(with_groups(keyed, cut(crowd), ["p", "k"], ["hub"], "size", n_keyed, "fp").select("p", "k", "fp", "hub"))
+
+
+def _open_keys(shared: DataFrame, first: DataFrame, n_shared: int) -> DataFrame:
+    """(p, k, fp, root, main, size, rest): the members of keys that hold more than one component, with the key's largest, and how many are in and outside it."""
+    placed = cut(shared.select("p", "k", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    tally = placed.groupBy("p", "k", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = tally.groupBy("p", "k").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    main = cut(main.select("p", "k", F.col("top.root").alias("main"), "size", (F.col("size") - F.col("top.c")).alias("rest")))
+    return cut(with_groups(placed, main, ["p", "k"], ["main", "size", "rest"], "size", n_shared, "fp"))
+
+
+def _pairs(members: DataFrame, prefixes: list[list[int]], t: int) -> DataFrame:
+    """(ra, rb): components that a pair within the budgets links. The left side is salted, the right side repeated for each salt."""
+    salts = F.floor((F.col("rest") - 1) / SALTED)
+    left = members.where("root <> main").select("p", "k", F.col("fp").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("fp"), salts + 1).alias("salt"))
+    right = members.select(F.col("p").alias("p2"), F.col("k").alias("k2"), F.col("fp").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt2"))
+    same = (F.col("p") == F.col("p2")) & (F.col("k") == F.col("k2")) & (F.col("salt") == F.col("salt2"))
+    return left.join(right, same & (F.col("ra") != F.col("rb")) & _near(F.col("a"), F.col("b"), prefixes, t)).select("ra", "rb").distinct()
+
+
+def links(nodes: DataFrame, n: int, t: int = 4, m: int = 9, chain: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """(fp, root) for every fingerprint with another one in reach, over steps of at most ``t`` bits.
 
     ``nodes`` has distinct ``fp`` and its number of rows ``n``. Within one key a
@@ -94,46 +142,60 @@ def links(nodes: DataFrame, n: int, t: int = 4, m: int = 9, chain: int | None =
     turns a large group of near copies into a star; the second pass joins only
     fingerprints outside the key's main component with the rest of the key. So
     every pair is either linked already or compared, and the work in a group of
-    k near copies is about k rather than k * k.
+    k near copies is about k rather than k * k. Keys that would still take more
+    than ``heavy`` comparisons (short texts set few bits, so their fingerprints
+    share many) are split by the next longer chain: a pair that keeps the
+    budgets has a common key at every length of the chain it starts.
     """
-    m, chain = (m, chain) if chain else ring_shape(n, m, t)
+    chain = chain or ring_shape(n, m, t)[1]
     masks, prefixes = ring(m, chain, t)
-    keys = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("k")) for p, x in enumerate(masks)])).alias("key")
-    keyed = cut(nodes.select("fp", "n", keys).select("fp", "n", "key.p", "key.k"))
-    crowd = cut(keyed.groupBy("p", "k").agg(F.max(F.struct("n", "fp")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("p", "k", F.col("hub.fp").alias("hub")))
-    shared = cut(keyed.join(crowd, ["p", "k"]).select("p", "k", "fp", "hub"))
-
-    def near(a: Column, b: Column) -> Column:
-        ok, differ = F.lit(True), a.bitwiseXOR(b)
-        for l in range(m):
-            mask = F.get(F.array(*[F.lit(_signed(x[l])) for x in prefixes]), F.col("p")) if l < m - 1 else F.lit(-1)
-            ok &= F.bit_count(differ.bitwiseAND(mask)) <= (l + 1) * t // m
-        return ok
-
+    keyed = cut(nodes.select("fp", "n", F.explode(_keys(masks)).alias("key")).select("fp", "n", "key.p", "key.k"))
+    shared = _crowds(keyed, n * len(masks))
+    release(keyed)
     # The hub pass needs no chain of its own: any two within t bits are a link.
     star = shared.where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= t)).select("fp", "hub").distinct()
     first = components(star, "fp", "hub")
-    placed = shared.select("p", "k", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    tally = placed.groupBy("p", "k", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = tally.groupBy("p", "k").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("p", "k", F.col("top.root").alias("main"))
-    placed = cut(placed.join(main, ["p", "k"]))
-    left = placed.where("root <> main").select("p", "k", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    right = placed.select("p", "k", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    cond = (F.col("ra") != F.col("rb")) & near(F.col("a"), F.col("b"))
-    more = left.join(right.withColumnsRenamed({"p": "p2", "k": "k2"}), (F.col("p") == F.col("p2")) & (F.col("k") == F.col("k2")) & cond).select("ra", "rb").distinct()
-    second = components(more, "ra", "rb")
-    whole = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root"))
+    members = _open_keys(shared, first, shared.count())
+    found = []
+    while True:
+        is_heavy = F.col("size") * F.col("rest") > heavy
+        last = chain == CHAINS[-1]
+        found.append(_pairs(members if last else members.where(~is_heavy), prefixes, t))
+        crowded = members.where(is_heavy)
+        if last or crowded.isEmpty():
+            break
+        chain = CHAINS[CHAINS.index(chain) + 1]
+        finer, budgets = ring(m, chain, t)
+        # a key number's start is that of its prefixes; its members go on to all keys of the longer chain there
+        goes = [[q for q, y in enumerate(budgets) if y[0] == x[0]] for x in prefixes]
+        nexts = F.get(F.array(*[F.array(*map(F.lit, g)) for g in goes]), F.col("p"))
+        keyed = cut(crowded.select("fp", "p").distinct().select("fp", F.explode(F.transform(nexts, lambda q: F.get(_keys(finer), q))).alias("key")).select("fp", F.lit(1).alias("n"), "key.p", "key.k").distinct())
+        prefixes = budgets
+        shared = _crowds(keyed, keyed.count())
+        members = _open_keys(shared, first, shared.count())
+    more = found[0]
+    for pairs in found[1:]:
+        more = more.unionByName(pairs)
+    second = components(more.distinct(), "ra", "rb")
+    sizes = first.groupBy("root").agg(F.count(F.lit(1)).alias("c")).join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root")
+    whole = with_groups(first, sizes, ["root"], ["top"], "c", n, "node", "left").select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root"))
     fresh = second.join(first, "node", "left_anti").select(F.col("node").alias("fp"), "root")
     return whole.unionByName(fresh)
 
 
+def _with_least(placed: DataFrame, low: str, n: int) -> DataFrame:
+    """``placed`` (fp, root, ...) with ``least``: the smallest ``low`` of its root."""
+    lowest = placed.groupBy("root").agg(F.min(low).alias("least"), F.count(F.lit(1)).alias("c"))
+    return with_groups(placed, lowest, ["root"], ["least"], "c", n, "fp")
+
+
 def with_components(rows: DataFrame, t: int = 4, m: int = 9, chain: int | None = None) -> DataFrame:
     """``rows`` (id, fp, ...) with ``component_id``: the smallest id over fingerprints reachable."""
     nodes = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")))
-    roots = links(nodes, nodes.count(), t, m, chain)
-    placed = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(placed.join(lowest, "root").select("fp", "component_id"), "fp")
+    n = nodes.count()
+    placed = cut(nodes.join(links(nodes, n, t, m, chain), "fp", "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root")))
+    found = cut(_with_least(placed, "low", n).select("fp", "n", F.col("least").alias("component_id")))
+    return with_groups(rows, found, ["fp"], ["component_id"], "n", rows.count(), "id")
 
 
 def simhash_groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 4, t: int = 4) -> DataFrame:
@@ -161,8 +223,11 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_i
     tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("body"), F.col(id_col).alias("rid"), whole.alias("tag"))
     rows = cut(fingerprints(tagged, "body", [F.col("rid").alias("id"), F.col("tag")], f"id {kind}, tag long", shingle))
     nodes = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag")).alias("low")))
-    roots = links(nodes, nodes.count(), t)
-    placed = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    best = placed.join(placed.groupBy("root").agg(F.min("low").alias("best")), "root").select("fp", "best")
-    gone = rows.join(best, "fp").where((F.col("tag") != F.col("best.tag")) | ~F.col("id").eqNullSafe(F.col("best.id"))).select("id", "tag").distinct()
+    n = nodes.count()
+    placed = cut(nodes.join(links(nodes, n, t), "fp", "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root")))
+    best = cut(_with_least(placed, "low", n).select("fp", "n", F.col("least").alias("best")))
+    known = with_groups(rows, best, ["fp"], ["best"], "n", rows.count(), "tag")
+    gone = cut(known.where((F.col("tag") != F.col("best.tag")) | ~F.col("id").eqNullSafe(F.col("best.id"))).select("id", "tag").distinct())
+    # a row is two numbers, so the broadcast stays within some 50 MB
+    gone = F.broadcast(gone) if gone.count() <= GONE_BROADCAST else gone
     return tagged.join(gone, (tagged.tag == gone.tag) & tagged.rid.eqNullSafe(gone.id), "left_anti").select("row.*")
