@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import bucket_offsets, cut, spread
+from groundwell.llm.common import bucket_offsets, cut, release, spread, with_groups
 
 
 def _uniform(*cols: Column | str) -> Column:
@@ -61,7 +61,7 @@ def propagate(cells: DataFrame, shards: int, quota: float, whole: float, rounds:
         # The main shard: where most copies are; ties go by a hash, another one each round, so that no shard is favoured.
         best = cells.groupBy("text_key").agg(F.max(F.struct("n", F.xxhash64("text_key", "shard", F.lit(seed + r)).alias("h"), "shard")).alias("m"))
         asked = cut(cells.join(best.select("text_key", F.col("m.shard").alias("to")), "text_key"))
-        pairs = asked.where("shard <> to").groupBy("shard", "to").agg(F.sum(F.col("n") * F.col("size")).alias("b")).collect()
+        pairs = sorted(asked.where("shard <> to").groupBy("shard", "to").agg(F.sum(F.col("n") * F.col("size")).alias("b")).collect())
         if not pairs:
             break
         share = grants([(p["shard"], p["to"], int(p["b"])) for p in pairs], [max(0.0, quota - x) for x in _loads(cells, shards)])
@@ -72,6 +72,7 @@ def propagate(cells: DataFrame, shards: int, quota: float, whole: float, rounds:
         moved = asked.withColumn("k", F.when(F.col("shard") == F.col("to"), F.lit(0)).otherwise(moves))
         if moved.where("k > 0").isEmpty():
             break
+        last = cells
         cells = cut(
             _merged(
                 moved.select("text_key", "size", "shard", (F.col("n") - F.col("k")).alias("n")).unionByName(
@@ -79,6 +80,9 @@ def propagate(cells: DataFrame, shards: int, quota: float, whole: float, rounds:
                 )
             )
         )
+        release(asked)
+        if r:
+            release(last)
         r += 1
     return cells
 
@@ -157,6 +161,25 @@ def fill(free: DataFrame, room: list[float], n_free: int, seed: int, block_rows:
     return dealt.groupBy("block").applyInPandas(run, f"{schema}, shard int")
 
 
+def _numbered(slim: DataFrame, seed: int, chunk: int = 1024) -> DataFrame:
+    """(id, size, crc, text_key, tag), with a ``tag`` that follows from the row and its number among rows equal to it.
+
+    Equal rows are counted before they are numbered, and where one stands for
+    many they are laid out in chunks by several tasks.
+    """
+    names = slim.columns
+    counted = cut(slim.groupBy(*names).agg(F.count(F.lit(1)).alias("times")))
+    many = (counted.agg(F.max("times")).first()[0] or 0) > 100 * chunk
+    if counted.where("times > 1").isEmpty():
+        rows = counted.select(*names, F.lit(0).cast("long").alias("nth"))
+    else:
+        rows = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {chunk}"))).alias("part"))
+        rows = rows.repartition(*names, "part") if many else rows
+        first = F.col("part") * chunk
+        rows = rows.select(*names, F.explode(F.sequence(first, F.least(first + chunk, F.col("times")) - 1)).alias("nth"))
+    return cut(rows.select(*names, F.xxhash64("id", "text_key", "nth", F.lit(seed)).alias("tag")))
+
+
 def shard_documents(
     df: DataFrame, text: str = "text", id_col: str = "doc_id", shards: int = 16, rounds: int | None = None, slack: float = 0.02, seed: int = 5
 ) -> DataFrame:
@@ -166,20 +189,18 @@ def shard_documents(
     counting its UTF-8 length (null: none) and one. Copies of a text share a
     shard as far as that allows. Slots count from 0 in each shard without gaps.
     Null and empty texts are copies of one another; repeated rows are documents
-    of their own; an empty table gives no rows; other columns are not read.
+    of their own; an empty table gives no rows; other columns are not read. The
+    result depends on the rows only, not on the files or partitions they are in.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    docs = cut(
-        df.select(
-            F.col(id_col).alias("id"), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"), F.unhex(F.md5(body)).alias("text_key"), F.monotonically_increasing_id().alias("tag")
-        )
-    )
+    slim = df.select(F.col(id_col).alias("id"), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"), F.unhex(F.md5(body)).alias("text_key"))
+    docs = _numbered(slim, seed)
     whole = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_rows, total = int(whole[0]), float(whole[1])
     n_buckets = spread(n_rows)
     docs = docs.withColumns({"shard0": F.pmod(F.xxhash64("tag", F.lit(seed)), F.lit(shards)).cast("int"), "bucket": F.pmod(F.xxhash64("tag", F.lit(seed + 1)), F.lit(n_buckets)).cast("int")})
-    cells = docs.groupBy("text_key", "size", "shard0").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("shard0", "shard")
-    linked_keys = cells.groupBy("text_key").agg(F.sum("n").alias("copies")).where("copies > 1").select("text_key")
+    cells = cut(docs.groupBy("text_key", "size", "shard0").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("shard0", "shard"))
+    linked_keys = cut(cells.groupBy("text_key").agg(F.sum("n").alias("copies")).where("copies > 1"))
     cells = cut(cells.join(linked_keys, "text_key").select("text_key", "size", "shard", "n"))
     fair = total / shards
     whole = fair / 4
@@ -190,9 +211,10 @@ def shard_documents(
     room = [max(0.0, fair - x) for x in loads]
     # Which copy goes where: copies are numbered within their text, and shard after shard takes the next n.
     plan = kept.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("plan"))
-    linked = docs.join(linked_keys, "text_key")
+    known = cut(with_groups(docs, linked_keys, ["text_key"], ["copies"], "copies", n_rows, "tag", "left"))
+    linked = known.where("copies > 1")
     per = bucket_offsets(linked, ["text_key"]).select("text_key", "bucket", "before").join(plan, "text_key", "left")
-    w = Window.partitionBy("text_key", "bucket").orderBy("tag")
+    w = Window.partitionBy("text_key", "bucket").orderBy("tag", "id")
     numbered = linked.join(per, ["text_key", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(w) - 1)
     find = F.aggregate(
         F.coalesce("plan", F.array().cast("array<struct<shard:int,n:bigint>>")),
@@ -202,11 +224,11 @@ def shard_documents(
     )
     placed = cut(numbered.select("id", "size", "crc", "tag", find.alias("shard")))
     cols = ["id", "size", "crc", "tag"]
-    free = docs.join(linked_keys, "text_key", "left_anti").select(*cols).unionByName(placed.where("shard < 0").select(*cols))
+    free = known.where("copies is null").select(*cols).unionByName(placed.where("shard < 0").select(*cols))
     done = cut(fill(free, room, n_rows, seed + 2).unionByName(placed.where("shard >= 0").select(*cols, "shard")))
     done = done.withColumn("bucket", F.pmod(F.xxhash64("tag", F.lit(seed + 3)), F.lit(n_buckets)).cast("int"))
     offsets = bucket_offsets(done, ["shard"]).select("shard", "bucket", "before")
-    slots = Window.partitionBy("shard", "bucket").orderBy("tag")
+    slots = Window.partitionBy("shard", "bucket").orderBy("tag", "id", "crc")
     return done.join(offsets, ["shard", "bucket"]).select(
         F.col("id").alias(id_col),
         "size",
