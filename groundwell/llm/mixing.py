@@ -18,24 +18,62 @@ from groundwell.llm.common import bucket_offsets, cut, spread, word_count
 
 #: Passes over a source at most.
 MOST = 3
+#: Sums in a knapsack table at most: 17 bytes each.
+TABLE = 1 << 23
+
+
+def level(total: int, weights: tuple[float, ...], tally) -> float:
+    """The words a weight of one stands for, such that all targets add up to ``total``.
+
+    ``tally(level)`` gives the words at which the sources over their cap at
+    that level stop, and how many sources of each weight are left. Each pass
+    stops those over their cap, which raises the level for the others.
+    """
+    found = 0.0
+    while True:
+        stopped, left = tally(found)
+        open_ = sum(n * w for n, w in zip(left, weights))
+        new = (total - stopped) / open_ if open_ else found
+        if new <= found:
+            return found
+        found = new
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3), most: float = MOST) -> dict[str | None, float]:
     """Share of the total by weight, none above ``most`` times its source; the excess goes to the others by weight."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(names)}
-    total, out = float(sum(sizes.values())), {}
-    open_ = list(names)
-    while open_:
-        left = total - sum(out.values())
-        scale = left / sum(weight[s] for s in open_)
-        over = [s for s in open_ if weight[s] * scale > most * sizes[s]]
-        if not over:
-            out |= {s: weight[s] * scale for s in open_}
-            break
-        out |= {s: float(most * sizes[s]) for s in over}
-        open_ = [s for s in open_ if s not in over]
-    return out
+    at = {s: i % len(weights) for i, s in enumerate(names)}
+
+    def tally(found: float) -> tuple[float, list[int]]:
+        over = {s for s in names if weights[at[s]] * found > most * sizes[s]}
+        return sum(most * sizes[s] for s in over), [sum(at[s] == i for s in names if s not in over) for i in range(len(weights))]
+
+    found = level(sum(sizes.values()), weights, tally)
+    return {s: min(weights[at[s]] * found, float(most * sizes[s])) for s in names}
+
+
+def source_plan(sums: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = MOST, per_part: int = 100_000) -> DataFrame:
+    """(src, source_size, target, c) of every (src, s, c): :func:`targets` in a few aggregations, for any number of sources."""
+    whole = sums.agg(F.count(F.lit(1)), F.coalesce(F.sum("s"), F.lit(0))).first()
+    # their order: by code point, null ("n") last; ranges of sources are numbered apart
+    order = [F.col("src") == "n", F.col("src")]
+    parts = -(-int(whole[0]) // per_part) or 1
+    dealt = cut(sums.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [sum(n for q, n in counts.items() if q < p) for p in range(parts)]
+    nth = F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("part")) + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    known = cut(dealt.withColumn("w", F.pmod(nth, F.lit(len(weights))).cast("int")))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("w"))
+    cap = F.col("s") * most
+
+    def tally(found: float) -> tuple[int, list[int]]:
+        over = weight * found > cap
+        left = [F.count_if(~over & (F.col("w") == i)) for i in range(len(weights))]
+        r = known.agg(F.coalesce(F.sum(F.when(over, cap)), F.lit(0)), *left).first()
+        return int(r[0]), list(r[1:])
+
+    found = level(int(whole[1]), weights, tally)
+    return known.select("src", F.col("s").alias("source_size"), F.least(weight * found, cap.cast("double")).alias("target"), "c")
 
 
 def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
@@ -43,7 +81,9 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
     Every length first gives its proportional number; the rest, less than one
     document of each length, is cut down greedily from the longest and closed
-    by a bounded-knapsack table over sums up to twice the longest document.
+    by a bounded-knapsack table over sums up to three times the longest
+    document, or up to ``TABLE`` words; documents too long for that table are
+    taken while they leave as much to the others.
     """
     import numpy as np
 
@@ -54,13 +94,17 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         return list(counts)
     take = [c * budget // total for c in counts]
     rest = budget - sum(l * t for l, t in zip(lengths, take))
-    longest = max(lengths)
+    longest = min(max(lengths), TABLE // 3)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:
         while lengths[i] and take[i] < counts[i] and rest - lengths[i] >= longest:
             n = min(counts[i] - take[i], (rest - longest) // lengths[i])
             take[i] += n
             rest -= n * lengths[i]
+    if rest > TABLE - longest:  # nothing is left but documents about as long as the rest: one of them or none
+        i = min((i for i in order if take[i] < counts[i]), key=lambda i: abs(lengths[i] - rest))
+        take[i] += abs(lengths[i] - rest) < rest
+        return take
     # Bounded knapsack: first[s] is the item (length i, how many) that first reached sum s.
     most = rest + longest
     reach = np.zeros(most + 1, bool)
@@ -88,9 +132,7 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
-def mix(
-    df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: int = 7, sources_at_most: int = 100_000
-) -> DataFrame:
+def mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """One row per input row: ``id_col, size, source_size, target, taken``.
 
     ``taken`` is the words that the mix takes of the document, repeats counted:
@@ -98,22 +140,18 @@ def mix(
     source, ordered last. Rows of one id are picked apart by their order in the
     seeded hash; which of several equal rows is picked makes no difference to
     the mix. An empty table gives no rows, a table without words takes none.
-    Only per-source totals reach the driver, and only up to ``sources_at_most``.
+    There may be any number of sources; what meets in one task are the distinct
+    lengths of one source.
     """
     key = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     docs = cut(df.select(F.col(id_col).alias("id"), key.alias("src"), word_count(F.col(text)).alias("size")))
     docs = docs.withColumn("h", F.xxhash64("id", F.lit(seed)))
-    sums = docs.groupBy("src").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).limit(sources_at_most + 1).collect()
-    if len(sums) > sources_at_most:
-        raise ValueError(f"more than {sources_at_most} sources")
-    goal = targets({None if r.src == "n" else r.src[1:]: r.s for r in sums}, weights)
-    rows = [(r.src, r.s, goal[None if r.src == "n" else r.src[1:]]) for r in sums]
-    spark = df.sparkSession
-    plan = spark.createDataFrame(rows, "src string, source_size long, target double")
-    n_buckets = spread(sum(r.c for r in sums))
+    sums = cut(docs.groupBy("src").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")))
+    plan = source_plan(sums, weights)
+    n_buckets = spread(sums.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(n_buckets)).cast("int"))
     offsets = cut(bucket_offsets(dealt, ["src", "size"]))
-    by_length = offsets.groupBy("src", "size").agg(F.sum("n").alias("count")).join(F.broadcast(plan), "src")
+    by_length = offsets.groupBy("src", "size").agg(F.sum("n").alias("count")).join(plan.drop("c"), "src")
 
     def fit(pdf):
         import pandas as pd
@@ -123,14 +161,14 @@ def mix(
         budget = round(goal_ - base * size) if base < MOST else 0
         pdf = pdf.sort_values("size")
         extra = fit_budget(pdf["size"].tolist(), pdf["count"].tolist(), budget)
-        return pd.DataFrame({"src": pdf["src"], "size": pdf["size"], "base": base, "extra": extra})
+        return pd.DataFrame({"src": pdf["src"], "size": pdf["size"], "source_size": size, "target": goal_, "base": base, "extra": extra})
 
-    fitted = by_length.groupBy("src").applyInPandas(fit, "src string, size long, base long, extra long")
-    quota = offsets.join(fitted, ["src", "size"]).select("src", "size", "bucket", "base", (F.col("extra") - F.col("before")).alias("room"), "n")
+    fitted = by_length.groupBy("src").applyInPandas(fit, "src string, size long, source_size long, target double, base long, extra long")
+    quota = offsets.join(fitted, ["src", "size"]).select("src", "size", "bucket", "source_size", "target", "base", (F.col("extra") - F.col("before")).alias("room"))
     w = Window.partitionBy("src", "size", "bucket").orderBy("h", "id")
     ranked = dealt.join(quota, ["src", "size", "bucket"]).withColumn("rank", F.row_number().over(w))
     copies = F.col("base") + (F.col("rank") <= F.col("room")).cast("long")
-    return ranked.join(F.broadcast(plan), "src").select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return ranked.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
 def apply_mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
