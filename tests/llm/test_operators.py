@@ -57,12 +57,25 @@ def test_exact_dedup_brute_force(spark):
 
 def test_exact_dedup_repeated_rows_and_a_full_filter(spark):
     d = spark.createDataFrame([(7, "same"), (7, "same"), (None, "same"), (1, "other")], "doc_id long, text string")
-    for cells in (32_768, 1 << 20):
-        got = exact_dedup.exact_duplicates(d, max_cells=cells).collect()
+    for bits in (16, 64):
+        got = exact_dedup.exact_duplicates(d, bits_per_row=bits).collect()
         assert sorted((r["text_sha256"][:4], r["kept"]) for r in got if r["group_size"] == 3).count((hashlib.sha256(b"same").hexdigest()[:4], True)) == 1
     many = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 39_000).alias("text"))
-    got = exact_dedup.exact_duplicates(many, max_cells=32_768)  # saturated: nearly every row is a candidate
-    assert got.where("kept").count() == 39_000 and got.where("group_size = 2").count() == 2_000
+    for setting in ({"bits_per_row": 1}, {"slice_blocks": 7}, {}):  # nearly full, in slices, plain
+        got = exact_dedup.exact_duplicates(many, **setting)
+        assert got.where("kept").count() == 39_000 and got.where("group_size = 2").count() == 2_000
+        assert exact_dedup.drop_exact_duplicates(many, **setting).count() == 39_000
+
+
+def test_bloom_filter_has_every_repeated_hash_and_few_others(spark):
+    rows = spark.range(60_000).select((F.col("id") % 50_000).alias("v")).select(F.xxhash64("v").alias("h"), "v").withColumn("twice", F.col("v") < 10_000)
+    blocks = exact_dedup.filter_blocks(60_000)
+    assert blocks == 30 and exact_dedup.filter_blocks(0) == 1 and exact_dedup.filter_blocks(10**12) == exact_dedup.SLICE_BLOCKS * exact_dedup.MOST_SLICES
+    marks = exact_dedup.bitmaps(rows, "h", blocks, 2).cache()
+    for size in (4, 100):
+        got = {(r["twice"], r["maybe"]): r["count"] for r in exact_dedup.flagged(rows, marks, "h", blocks, size).groupBy("twice", "maybe").count().collect()}
+        assert got[True, True] == 20_000 and (True, False) not in got
+        assert got[False, True] < 0.05 * 40_000 and got[False, True] + got[False, False] == 40_000
 
 
 def rules(text):
