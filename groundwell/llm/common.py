@@ -53,7 +53,8 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values:
     names = {k: f"__{k}" for k in keys}
     value = F.struct(*values)
     hot = groups.where(is_hot).select(*[F.col(k).alias(f"__h{k}") for k in keys], value.alias("__hot"))
-    cold = groups.where(~is_hot).select(F.lit(0).cast("long").alias("__lane"), *[F.col(k).alias(names[k]) for k in keys], value.alias("__cold"))
+    # lane 0, but not a literal: the planner would take that out of the join's keys
+    cold = groups.where(~is_hot).select(F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")).alias("__lane"), *[F.col(k).alias(names[k]) for k in keys], value.alias("__cold"))
     met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__h{k}") for k in keys], "left")
     # rows of hot groups find nothing in their lanes, of which there are many
     lane = F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(spread_by), F.lit(1 << 40)) + 1)
