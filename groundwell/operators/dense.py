@@ -1,60 +1,98 @@
-"""Dense search: exact cosine top-k, and an inverted-list index that probes a few lists."""
+"""Dense search: exact cosine top-k by matrix products, and an inverted-list index that probes a few lists."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions.vector import dot, l2_normalize
-from groundwell.operators.sizing import broadcast_if_small
+from groundwell.operators.sizing import broadcast_blocks, broadcast_if_small
+
+#: Queries whose vectors are sent to every executor at once: 61 MB at 768 dimensions.
+BLOCK_QUERIES = 10_000
+#: Scores held at once by a task: 32 MB.
+BLOCK_SCORES = 1 << 22
 
 
 def dense_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", vector: str = "embedding", normalised: bool = True) -> DataFrame:
-    """(query_id, doc_id, score): the stated queries against every vector, the query side broadcast once measured."""
+    """(query_id, doc_id, score): the stated queries, in blocks that are broadcast, against every vector."""
     d = docs.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("doc_id"), (F.col(vector) if normalised else l2_normalize(F.col(vector))).alias("dv"))
-    q = queries.select("query_id", (F.col(vector) if normalised else l2_normalize(F.col(vector))).alias("qv"))
-    return d.crossJoin(broadcast_if_small(q, 10_000)).select("query_id", "doc_id", dot(F.col("qv"), F.col("dv")).alias("score"))
+    q = queries.where(F.col(vector).isNotNull()).select("query_id", (F.col(vector) if normalised else l2_normalize(F.col(vector))).alias("qv"))
+    parts = [d.crossJoin(block).select("query_id", "doc_id", dot(F.col("qv"), F.col("dv")).alias("score")) for block in broadcast_blocks(q, BLOCK_QUERIES)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def dense_top_k(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", vector: str = "embedding", digits: int = 6, normalised: bool = True) -> DataFrame:
-    """(query_id, doc_id, score, rank) by score, ties by id; a window-group limit prunes before the shuffle."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    s = dense_scores(docs, queries, id_col, vector, normalised).withColumn("score", F.round("score", digits))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def best_of(scores, ids, k: int):
+    """Rows and places of the ``k`` best scores of each row, the smallest ids first among equals."""
+    import numpy as np
+
+    if scores.shape[1] > k:
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        rows, at = np.nonzero(scores >= least[:, None])
+    else:
+        rows, at = np.nonzero(np.ones_like(scores, bool))
+    order = np.lexsort((ids[at], -scores[rows, at], rows))
+    rows, at = rows[order], at[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[nth < k], at[nth < k]
+
 
+def _ragged(widths, vector: str):
+    if len(widths) and (widths != widths[0]).any():
+        raise ValueError(f"{vector} has vectors of {int(widths.min())} to {int(widths.max())} dimensions")
 
-def dense_top_k_batched(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", vector: str = "embedding", digits: int = 6, block_queries: int = 10_000) -> DataFrame:
-    """The same rows by one matrix product per Arrow batch and block of queries: each product sends on only its own best k a query.
 
-    The driver holds one block of ``block_queries`` at a time; each block passes over all vectors.
+def dense_top_k(
+    docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", vector: str = "embedding", digits: int = 6, normalised: bool = True, block_queries: int = BLOCK_QUERIES
+) -> DataFrame:
+    """(query_id, doc_id, score, rank) by score, ties by id; null vectors are left out, ragged ones are an error.
+
+    The query vectors are one broadcast matrix, ``block_queries`` at a time;
+    each Arrow batch of vectors is multiplied with it and sends on only its own
+    best k a query, so the shuffle before the last ranking is small.
     """
     import numpy as np
 
-    def scorer(ids: list, q: np.ndarray):
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
+    unit = (lambda c: c) if normalised else l2_normalize
+    d = docs.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("doc_id"), unit(F.col(vector)).alias("v"))
+    q = queries.where(F.col(vector).isNotNull()).select("query_id", unit(F.col(vector)).alias("v"))
+    kinds = dict(d.dtypes)["doc_id"], dict(q.dtypes)["query_id"]
+    sc = docs.sparkSession.sparkContext
+
+    def scorer(block: list):
+        import pyarrow as pa
 
+        _ragged(np.asarray([len(r[1]) for r in block]), vector)
+        sent = sc.broadcast(np.asarray([r[1] for r in block], np.float64))
+
+        def run(batches: Iterator) -> Iterator:
+            m = sent.value
             for batch in batches:
-                if not batch.num_rows or not ids:
+                lists = batch.column(1)
+                if not batch.num_rows or not len(m):
                     continue
-                at = np.asarray(batch.column(0).to_pylist())
-                flat = batch.column(1)
-                m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                s = np.round(q @ m.T, digits)
-                for i, row in zip(ids, s):
-                    best = np.lexsort((at, -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(best)), pa.array(at[best]), pa.array(row[best])], ["query_id", "doc_id", "score"])
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(flat) != batch.num_rows * m.shape[1]:
+                    raise ValueError(f"{vector} has vectors of other than {m.shape[1]} dimensions")
+                flat, ids = flat.reshape(batch.num_rows, -1), np.asarray(batch.column(0))
+                step = max(1, BLOCK_SCORES // batch.num_rows)
+                for low in range(0, len(m), step):
+                    s = np.round(m[low : low + step] @ flat.T, digits) + 0.0
+                    rows, at = best_of(s, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows + low, pa.int64()), batch.column(0).take(pa.array(at)), pa.array(s[rows, at])], ["n", "doc_id", "score"])
 
         return run
 
-    d = docs.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(vector).alias("v"))
-    kinds = dict(d.dtypes)["doc_id"], dict(queries.dtypes)["query_id"]
-    schema, near, rows = f"query_id {kinds[1]}, doc_id {kinds[0]}, score double", None, queries.select("query_id", vector).toLocalIterator()
+    rows, near = q.collect() if q.limit(block_queries + 1).count() <= block_queries else None, None
+    rows = iter(rows) if rows is not None else q.toLocalIterator()
+    spark = docs.sparkSession
     while (block := list(islice(rows, block_queries))) or near is None:
-        part = d.mapInArrow(scorer([r[0] for r in block], np.asarray([r[1] for r in block], np.float64)), schema)
+        names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(block)], f"n long, query_id {kinds[1]}")
+        part = d.mapInArrow(scorer(block), f"n long, doc_id {kinds[0]}, score double").join(F.broadcast(names), "n").select("query_id", "doc_id", "score")
         near = part if near is None else near.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

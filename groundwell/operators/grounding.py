@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.functions.text import absence_terms, content_tokens, normalize, normalized_tokens, replace_token, sentinel
+from groundwell.operators.sizing import broadcast_blocks
 
 MIN_TOKENS = 2
 
@@ -51,19 +53,62 @@ def with_sources(pairs: DataFrame, note: str = "note", source: str = "source_tex
     return pairs.withColumns({"source_norm": normalize(F.concat_ws("\n", note, source)), "patient_norm": normalize(F.col(note))})
 
 
-def rollup(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, trial_verdict): exclusions inverted, a hard exclude first, then anything unresolved."""
-    bad, good = F.when(F.col("kind") == "exclusion", "met").otherwise("not_met"), F.when(F.col("kind") == "exclusion", "not_met").otherwise("met")
-    agg = df.groupBy(*keys).agg(F.bool_or(F.col("verdict").eqNullSafe(bad)).alias("x"), F.bool_or(~F.col("verdict").eqNullSafe(bad) & ~F.col("verdict").eqNullSafe(good)).alias("u"))
-    return agg.select(*keys, F.when(F.col("x"), "excluded").when(F.col("u"), "cannot_determine").otherwise("eligible").alias("trial_verdict"))
+#: Quotes that meet every source at once.
+BLOCK_QUOTES = 10_000
+
+
+def quote_hits(quotes: DataFrame, sources: DataFrame, min_tokens: int = MIN_TOKENS, block_quotes: int = BLOCK_QUOTES) -> DataFrame:
+    """(item_id, doc_id) of the quotes (item_id, text) that are grounded in a source (doc_id, text).
+
+    Any word of a quote but its first and last must be a whole word of the
+    source, so its longest inner word is looked for among the source's words
+    before the substring is; a source that has none of those words goes no
+    further. Quotes of two words have no inner word and meet every source.
+    Quotes go to every executor, ``block_quotes`` at a time.
+    """
+    words = F.split("qn", " ")
+    asked = quotes.select("item_id", "text", normalize(F.coalesce("text", F.lit(""))).alias("qn")).where((F.col("qn") != "") & (F.size(words) >= min_tokens))
+    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2))
+    probe = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    asked = asked.select("item_id", "text", probe.alias("probe"))
+    told = sources.select("doc_id", normalize(F.coalesce("text", F.lit(""))).alias("sn"))
+    out = []
+    for block in broadcast_blocks(asked.where("probe is not null"), block_quotes):
+        probes = [r[0] for r in block.select("probe").distinct().collect()]
+        held = F.filter(F.split("sn", " "), lambda t: t.isin(probes)) if probes else F.array().cast("array<string>")
+        # explode_outer: explode would have the words found once more, in an inferred filter
+        met = told.select("doc_id", "sn", F.explode_outer(F.array_distinct(held)).alias("probe")).join(block, "probe")
+        out.append(met.where(is_grounded(F.col("text"), F.col("sn"), min_tokens)).select("item_id", "doc_id"))
+    for block in broadcast_blocks(asked.where("probe is null").select("item_id", "text"), block_quotes):
+        out.append(told.crossJoin(block).where(is_grounded(F.col("text"), F.col("sn"), min_tokens)).select("item_id", "doc_id"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def verdict_of(kind: str = "kind", verdict: str = "verdict") -> Column:
+    """Aggregate of a trial's criteria: exclusions inverted, a hard exclude first, then anything unresolved; null rows are no criteria."""
+    k, v = F.col(kind), F.col(verdict)
+    bad, good = F.when(k == "exclusion", "met").otherwise("not_met"), F.when(k == "exclusion", "not_met").otherwise("met")
+    hard, open_ = F.bool_or(v.eqNullSafe(bad)), F.bool_or(~v.eqNullSafe(bad) & ~v.eqNullSafe(good))
+    return F.when(hard, "excluded").when(open_, "cannot_determine").otherwise("eligible")
+
+
+def rollup(df: DataFrame, keys: list[str], trials: DataFrame | None = None) -> DataFrame:
+    """(keys, trial_verdict) by :func:`verdict_of`; of ``trials`` those without a criterion cannot be determined."""
+    said = df.groupBy(*keys).agg(verdict_of().alias("trial_verdict"))
+    if trials is None:
+        return said
+    every = trials.select(*keys).distinct().join(said, keys, "left")
+    return every.select(*keys, F.coalesce("trial_verdict", F.lit("cannot_determine")).alias("trial_verdict"))
 
 
 def bounded_retry(pairs: DataFrame, label: Callable[[DataFrame, int], DataFrame], keys: list[str], max_retries: int = 2, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every pair's latest attempt, grounded, with ``attempt``: pairs with a failure are labelled again, at most ``max_retries`` times.
 
     ``label(pairs, attempt)`` gives ``keys, pos, criterion, kind, verdict, quote``;
-    pairs have ``keys, source_norm, patient_norm``. A retry replaces all of a
-    pair's criteria. ``cut`` materialises a pass so that no pass is labelled twice.
+    pairs have ``keys, source_norm, patient_norm`` and, from the second attempt
+    on, ``failed``: the last attempt's ungrounded criteria in order. A retry
+    replaces all of a pair's criteria. ``cut`` materialises a pass so that no
+    pass is labelled twice.
     """
     todo, done = pairs, None
     for attempt in range(max_retries + 1):
@@ -71,12 +116,12 @@ def bounded_retry(pairs: DataFrame, label: Callable[[DataFrame, int], DataFrame]
         texts = todo.select(*keys, "source_norm", "patient_norm")
         out = ground_assessments(answers.join(texts, keys), patient_norm="patient_norm").withColumn("attempt", F.lit(attempt)).drop("source_norm", "patient_norm")
         out = cut(out) if cut else out
-        failed = out.where("grounding_failure").select(*keys).distinct()
-        if attempt == max_retries:
-            kept = out
-        else:
+        kept = out
+        if attempt < max_retries:
+            named = F.transform(F.array_sort(F.collect_list(F.struct("pos", "criterion"))), lambda x: x["criterion"])
+            failed = out.where("grounding_failure").groupBy(*keys).agg(named.alias("failed"))
             kept = out.join(failed, keys, "left_anti")
-            todo = todo.join(failed, keys, "left_semi")
+            todo = todo.drop("failed").join(failed, keys)
         done = kept if done is None else done.unionByName(kept)
     return done
 

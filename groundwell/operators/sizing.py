@@ -18,6 +18,19 @@ def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if small else df
 
 
+def broadcast_blocks(df: DataFrame, most_rows: int) -> list[DataFrame]:
+    """``df`` in parts of about ``most_rows`` rows, each with a broadcast hint: for a stated query set that meets every row.
+
+    Rows are dealt by a hash of the whole row, so a recomputed part is the same.
+    """
+    if df.limit(most_rows + 1).count() <= most_rows:
+        return [F.broadcast(df)]
+    # half of what is allowed, so that an uneven deal stays within it
+    parts = -(-df.count() // max(1, most_rows // 2))
+    at = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    return [F.broadcast(df.where(at == p)) for p in range(parts)]
+
+
 def widen(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundwell.operators.search_index import IndexStore, files_tag, tag_of
 from groundwell.operators.sizing import widen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +27,19 @@ class Registry:
         return keep
 
 
+#: Tables whose rows are heavy: texts, pages and vectors.
+WIDE = ("documents", "pages", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return widen(df) if name in ("documents", "pages") else df
+    return widen(df) if name in WIDE else df
+
+
+def index_store(spark: SparkSession, sf_dir: str, name: str) -> tuple[IndexStore, str]:
+    """Where indexes are kept (``groundwell.index.dir``, else beside the warehouse's tables), and the tag of a table's files."""
+    root = spark.conf.get("groundwell.index.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/groundwell_index"
+    return IndexStore(spark, root), tag_of("v1", files_tag(spark, f"{sf_dir}/{name}.parquet"))
 
 
 def norm_sql(x: str) -> str:

@@ -11,7 +11,8 @@ from groundwell.operators import fusion as fu
 from groundwell.operators import ir_metrics as ir
 from groundwell.operators import lexical as lx
 from groundwell.operators import retrieve as rt
-from groundwell.plans.common import Registry, table, toks_sql
+from groundwell.operators.lexical import LexicalIndex
+from groundwell.plans.common import Registry, index_store, table, toks_sql
 
 reg = Registry()
 DOT = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
@@ -39,7 +40,8 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.add(f"WITH {_DENSE} SELECT query_id, doc_id, score, rank FROM dr WHERE rank <= 50")
 def dense_topk_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dn.dense_top_k_batched(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 50)
+    """The same by several blocks of queries, each a matrix of its own."""
+    return dn.dense_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 50, block_queries=64)
 
 
 @reg.add(
@@ -96,14 +98,25 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The documents' kept postings; the first search over a table makes them."""
+    store, tag = index_store(spark, sf_dir, "documents")
+    return store.lexical(_docs(spark, sf_dir), "documents", tag)
+
+
+def _fts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, tag = index_store(spark, sf_dir, "documents")
+    return store.fts(_docs(spark, sf_dir), "documents", tag, carry=("source",))
+
+
 @reg.add(f"WITH {_BM25} SELECT n::BIGINT AS n_docs, n_terms::BIGINT AS n_terms, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM nn, av")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lx.corpus_stats(_docs(spark, sf_dir)).select("n_docs", "n_terms", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
+    return lx.corpus_stats(_index(spark, sf_dir)).select("n_docs", "n_terms", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
 @reg.add(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM br WHERE rank <= 50")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lx.bm25_top_k(_docs(spark, sf_dir), _items(spark, sf_dir), 50)
+    return lx.bm25_search(_index(spark, sf_dir), _items(spark, sf_dir), 50)
 
 
 #: Rare-word queries: the longest word of each item, so that some pools need padding.
@@ -118,22 +131,28 @@ _RARE = f"(SELECT item_id, list_reduce({toks_sql('text')}, lambda x, y: CASE WHE
 def bm25_pool_with_zero_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tokenize(F.col("text"))
     rare = _items(spark, sf_dir).where(F.size(w) > 0).select("query_id", F.reduce(w, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a)).alias("text"))
-    return lx.bm25_pool_with_zero_scores(_docs(spark, sf_dir), rare, 50)
+    return lx.bm25_pool_with_zero_scores(_docs(spark, sf_dir), _index(spark, sf_dir), rare, 50)
 
 
 @reg.add(
-    f"""WITH q AS (SELECT item_id AS query_id, list_distinct(({toks_sql("text")})[1:4]) AS w FROM benchmark), p AS (SELECT doc_id, list_distinct({toks_sql("text")}) AS w FROM documents)
+    f"""WITH q AS (SELECT item_id AS query_id, list_distinct({toks_sql("text")}) AS w FROM benchmark), p AS (SELECT doc_id, list_distinct({toks_sql("text")}) AS w FROM documents)
     SELECT query_id, doc_id FROM q, p WHERE len(q.w) > 0 AND list_has_all(p.w, q.w)"""
 )
 def boolean_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _items(spark, sf_dir).select("query_id", F.array_join(F.slice(tokenize(F.col("text")), 1, 4), " ").alias("text"))
-    return lx.boolean_and_match(_docs(spark, sf_dir), q)
+    return lx.boolean_and_match(_docs(spark, sf_dir), _items(spark, sf_dir))
 
 
 @reg.add()
 def cover_density_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text search with stemming, a phrase, an alternative and a negation, by cover density."""
-    return lx.fts_search(_docs(spark, sf_dir), 'the and or "with the" or die -trash', 50)
+    asked = spark.createDataFrame([(0, 'the and or "with the" or die -trash'), (1, "river water"), (2, '"old mill" or garden'), (3, "-the"), (4, "house -water or town")], "query_id long, text string")
+    return lx.fts_search(_fts(spark, sf_dir), asked, 50)
+
+
+@reg.add()
+def fts_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a full-text query: the documents that hold all its words, by cover density."""
+    return lx.fts_search(_fts(spark, sf_dir), _items(spark, sf_dir), 50)
 
 
 _HYBRID = f"""
@@ -146,22 +165,20 @@ _HYBRID = f"""
 """
 
 
-def _hybrid_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hybrid_inputs(spark: SparkSession, sf_dir: str) -> tuple[LexicalIndex, DataFrame, DataFrame]:
     v = _vectors(spark, sf_dir)
     q = _items(spark, sf_dir).join(v.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id", "left")
-    return _docs(spark, sf_dir), v, q
+    return _index(spark, sf_dir), v, q
 
 
 @reg.add(f"WITH {_HYBRID} SELECT query_id, doc_id, score, rank FROM fr2 WHERE rank <= 10")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, v, q = _hybrid_inputs(spark, sf_dir)
-    return rt.hybrid_search(docs, v, q, 10)
+    return rt.hybrid_search(*_hybrid_inputs(spark, sf_dir), 10)
 
 
 @reg.add(f"WITH {_HYBRID} SELECT query_id, doc_id, round(score, 4) AS score, rank, source, md5(text) AS text_md5 FROM fr2 JOIN documents USING (doc_id) WHERE rank <= 10")
 def hydrate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, v, q = _hybrid_inputs(spark, sf_dir)
-    hits = fu.hydrate(rt.hybrid_search(docs, v, q, 10), docs)
+    hits = fu.hydrate(rt.hybrid_search(*_hybrid_inputs(spark, sf_dir), 10), _docs(spark, sf_dir))
     return hits.select("query_id", "doc_id", "score", "rank", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -186,7 +203,7 @@ _KW = f"""kq AS (SELECT item_id, (kw - 1) AS kw, item_id * 1000 + kw - 1 AS key,
 @reg.add(
     f"""WITH {_KW}, {_BM25.replace("SELECT item_id AS query_id, t.term AS term, count(*) AS qtf FROM benchmark, unnest", "SELECT key AS query_id, t.term AS term, count(*) AS qtf FROM kq, unnest")}
     , dd AS (SELECT key, vec_id AS doc_id, row_number() OVER (PARTITION BY key ORDER BY round({DOT.format(a="qv", b="embedding")}, 6) DESC, vec_id) AS rank
-      FROM (SELECT key, e.embedding AS qv FROM kq JOIN embeddings e ON e.vec_id = (kq.item_id + 7 * kq.kw) % 400), embeddings)
+      FROM (SELECT key, e.embedding AS qv FROM kq JOIN embeddings e ON e.vec_id = (kq.item_id + 7 * kq.kw) % (SELECT max(vec_id) + 1 FROM embeddings)), embeddings)
     , ls AS (SELECT key // 1000 AS query_id, (key % 1000) * 2 AS li, rank, doc_id FROM dd WHERE rank <= 50 UNION ALL SELECT query_id // 1000, (query_id % 1000) * 2 + 1, rank, doc_id FROM br WHERE rank <= 50
     ), fs AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(li * 1000 + rank) AS first FROM ls GROUP BY ALL
     ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id)::INTEGER AS rank FROM fs) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10"""
@@ -197,10 +214,11 @@ def multi_keyword_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w")).where(F.size("w") > 0)
     kw = items.select(F.col("item_id").alias("query_id"), F.posexplode(runs).alias("kw", "text"))
     v = _vectors(spark, sf_dir)
-    kw = kw.join(v.select(F.col("doc_id").alias("vid"), "embedding"), (F.col("query_id") + 7 * F.col("kw")) % 400 == F.col("vid"), "left")
+    ids = v.agg((F.max("doc_id") + 1).alias("ids"))
+    kw = kw.crossJoin(F.broadcast(ids)).join(v.select(F.col("doc_id").alias("vid"), "embedding"), (F.col("query_id") + 7 * F.col("kw")) % F.col("ids") == F.col("vid"), "left")
     notes = kw.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("kw", "text", "embedding"))).alias("k"))
     notes = notes.select("query_id", F.transform("k", lambda x: F.struct(x["text"].alias("text"), x["embedding"].alias("embedding"))).alias("keywords"))
-    return rt.multi_keyword_search(_docs(spark, sf_dir), v, notes, 10)
+    return rt.multi_keyword_search(_index(spark, sf_dir), v, notes, 10)
 
 
 @reg.add(

@@ -51,8 +51,9 @@ def budget_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.add(
     """WITH e AS (SELECT event_id, (props->>'k')::BIGINT AS k, event_type FROM events
-    ), p AS (SELECT event_id, CASE WHEN event_type = 'click' THEN (k * 0.1 + (k + 1) * 0.32) / 1e6 WHEN event_type = 'view' THEN 0.0 END::DOUBLE AS t, CASE WHEN event_id % 4 = 0 THEN NULL ELSE ((k * 0.1 + (k + 1) * 0.32) * (1 + (event_id % 3) * 0.1) / 1e6)::DOUBLE END AS r FROM e)
-    SELECT event_id, round(coalesce(r, t, 0), 12) AS usd, CASE WHEN r IS NOT NULL THEN 'provider' WHEN t IS NOT NULL THEN 'table' ELSE 'unknown' END AS cost_source, coalesce(t > 0 AND abs(r - t) / nullif(t, 0) > 0.1 + 1e-9, false) AS drifted FROM p"""
+    ), p AS (SELECT event_id, CASE WHEN event_type = 'click' THEN (k * 0.1 + (k + 1) * 0.32) / 1e6 WHEN event_type = 'view' THEN 0.0 END::DOUBLE AS t, CASE WHEN event_id % 4 = 0 THEN NULL ELSE ((k * 0.1 + (k + 1) * 0.32) * (1 + (event_id % 3) * 0.1) / 1e6)::DOUBLE END AS r FROM e
+    ), x AS (SELECT p.*, e.event_type, (e.k * 0.1 + (e.k + 1) * 0.32)::DECIMAL(24,6) AS exact, p.r::DECIMAL(24,18) * 1000000::DECIMAL(7,0) AS said FROM p JOIN e USING (event_id))
+    SELECT event_id, round(coalesce(r, t, 0), 12) AS usd, CASE WHEN r IS NOT NULL THEN 'provider' WHEN t IS NOT NULL THEN 'table' ELSE 'unknown' END AS cost_source, coalesce(t > 0 AND abs(said - exact) * 10 > exact, false) AS drifted FROM x"""
 )
 def price_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -61,8 +62,6 @@ def price_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = F.when(F.col("event_type") == "click", money.PRICES[0][1]).when(F.col("event_type") == "view", money.PRICES[1][1]).otherwise("m")
     said = F.when(F.col("event_id") % 4 != 0, (F.col("in_tokens") * 0.1 + F.col("out_tokens") * 0.32) * (1 + F.col("event_id") % 3 * 0.1) / 1e6)
     u = e.select("event_id", k.alias("in_tokens"), (k + 1).alias("out_tokens"), who.alias("provider"), which.alias("model")).withColumn("provider_usd", said)
-    # 10 % exactly is not drift; the products differ from it by rounding only
-    u = u.withColumn("provider_usd", F.when((F.col("event_id") % 3 == 1) & F.col("provider_usd").isNotNull(), F.col("provider_usd") * (1 - 1e-9)).otherwise(F.col("provider_usd")))
     return money.with_cost(u, money.price_table(spark)).select("event_id", F.round("usd", 12).alias("usd"), "cost_source", "drifted")
 
 
@@ -134,20 +133,24 @@ def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.rate_limiter(e, "user_id", "ts", 3, 86_400, "event_id").select("user_id", "event_id", "allowed")
 
 
-_JOBS = """j AS (SELECT user_id::VARCHAR AS job_id, event_id AS seq, ts, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'create' WHEN event_type = 'signup' THEN 'complete' WHEN event_type = 'error' THEN 'fail' ELSE 'append' END AS type FROM events)"""
+_JOBS = """j AS (SELECT user_id::VARCHAR AS job_id, event_id AS seq, ts, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'create' WHEN event_type = 'signup' THEN 'complete' WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'view' AND event_id % 50 = 0 THEN 'get' ELSE 'append' END AS type, event_id % 2 = 0 AS told FROM events)"""
 
 
 @reg.add(
-    f"""WITH {_JOBS}, b AS (SELECT job_id, min(ts) AS born FROM j WHERE type = 'create' GROUP BY 1), l AS (SELECT j.*, type IN ('complete', 'fail') AS ends FROM j JOIN b USING (job_id) WHERE type <> 'create' AND epoch(ts) - epoch(born) <= 864000
-    ), a AS (SELECT job_id, count(*) AS n, arg_max(type, seq) FILTER (ends) AS last FROM l GROUP BY 1)
-    SELECT job_id, CASE WHEN last = 'fail' THEN 'error' WHEN last = 'complete' THEN 'done' WHEN n > 0 THEN 'running' ELSE 'queued' END AS status, coalesce(n, 0)::BIGINT AS n_events FROM b LEFT JOIN a USING (job_id)"""
+    f"""WITH {_JOBS}, b AS (SELECT job_id, min(epoch(ts)) AS born FROM j WHERE type = 'create' GROUP BY 1
+    ), s AS (SELECT epoch(ts) AS t, seq FROM j WHERE type IN ('create', 'get')), g AS (SELECT job_id, min({{'t': t, 'seq': s.seq}}) AS gone FROM b LEFT JOIN s ON t - born > 864000 GROUP BY 1
+    ), l AS (SELECT j.*, type IN ('complete', 'fail') AS ends FROM j JOIN g USING (job_id) WHERE type NOT IN ('create', 'get') AND (gone IS NULL OR gone.t IS NULL OR {{'t': epoch(ts), 'seq': j.seq}} < gone)
+    ), a AS (SELECT job_id, count(*) FILTER (type <> 'complete' OR told) AS n, bool_or(type = 'append') AS ran, arg_max(type, {{'t': epoch(ts), 'seq': seq}}) FILTER (ends) AS last FROM l GROUP BY 1)
+    SELECT job_id, CASE WHEN last = 'fail' THEN 'error' WHEN last = 'complete' THEN 'done' WHEN ran THEN 'running' ELSE 'queued' END AS status, coalesce(n, 0)::BIGINT AS n_events FROM b LEFT JOIN a USING (job_id)"""
 )
 def job_ttl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     first = e.groupBy("user_id").agg(F.min("event_id").alias("first"))
     j = e.join(first, "user_id").select(
         F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), "ts", F.lit(None).cast("string").alias("error"),
-        F.when(F.col("event_id") == F.col("first"), "create").when(F.col("event_type") == "signup", "complete").when(F.col("event_type") == "error", "fail").otherwise("append").alias("type"),
+        F.when(F.col("event_id") == F.col("first"), "create").when(F.col("event_type") == "signup", "complete").when(F.col("event_type") == "error", "fail")
+        .when((F.col("event_type") == "view") & (F.col("event_id") % 50 == 0), "get").otherwise("append").alias("type"),
+        F.when(F.col("event_id") % 2 == 0, "{}").alias("payload"),
     )
     return stateful.job_replay(j, 864_000).select("job_id", "status", "n_events")
 

@@ -132,11 +132,11 @@ def typed_criteria_cap24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @reg.add(
-    "SELECT doc_id, list_element(['met', 'not_met', 'cannot_determine', 'cannot_determine', 'unverifiable'], (doc_id % 5)::INTEGER + 1) AS verdict, substr(text, 1, 40) AS criterion, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS quote FROM documents"
+    "SELECT doc_id, list_element(['met', 'not_met', 'cannot_determine', 'cannot_determine', 'unverifiable'], (doc_id % 5)::INTEGER + 1) AS verdict, text AS criterion, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS quote FROM documents"
 )
 def validate_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.element_at(F.array(*[F.lit(v) for v in ("met", "not_met", "cannot_determine", "yes!", "unverifiable")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    item = F.struct(F.substring("text", 1, 40).alias("criterion"), verdict.alias("verdict"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("quote"), F.lit("x").alias("other"))
+    item = F.struct(F.col("text").alias("criterion"), verdict.alias("verdict"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("quote"), F.lit("x").alias("other"))
     raw = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(item).alias("assessments"))), F.lit("\n```")).alias("raw"))
     return cr.parse_answer(raw).select("doc_id", F.explode("assessments").alias("a")).select("doc_id", "a.verdict", "a.criterion", "a.quote")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwell.functions import text as tx
 from groundwell.operators import arm_metrics as am
 from groundwell.operators import grounding as gr
+from groundwell.operators.lineage import cut
 from groundwell.plans.common import Registry, in_list, norm_sql, table
 
 reg = Registry()
@@ -29,10 +30,17 @@ def _ground_sql(frm: str, m: str = "2") -> str:
       WHEN verdict = 'not_met' AND kind = 'exclusion' AND len({_TERMS}) > 0 AND len(list_filter({_TERMS}, lambda t: contains(patient_norm, t))) = 0 THEN 'absence' END AS gb FROM {frm})))"""
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", tx.normalize(F.col("text")).alias("source_norm"), tx.normalize(F.concat_ws(" ", "lang", "source")).alias("patient_norm"))
+
+
 def _assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Texts are normalised before the explode: beside it, that would be done for every line.
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", tx.normalize(F.col("text")).alias("source_norm"), tx.normalize(F.concat_ws(" ", "lang", "source")).alias("patient_norm"))
-    d = d.select("doc_id", "source_norm", "patient_norm", F.posexplode_outer(F.split("text", "\n")).alias("pos", "criterion"))
+    return _answered(_sources(spark, sf_dir))
+
+
+def _answered(d: DataFrame) -> DataFrame:
+    d = d.select(*[c for c in d.columns if c != "text"], F.posexplode_outer(F.split("text", "\n")).alias("pos", "criterion"))
     verdict = F.element_at(F.array(*[F.lit(v) for v in ("met", "not_met", "cannot_determine", "not_met")]), ((F.col("doc_id") * 7 + F.col("pos") * 3) % 4 + 1).cast("int"))
     quote = F.when((F.col("doc_id") + F.col("pos")) % 3 == 0, F.concat(F.lit("zzmissing "), "criterion")).otherwise(F.col("criterion"))
     return d.withColumns({"kind": F.when(F.col("pos") % 2 == 0, "inclusion").otherwise("exclusion"), "verdict": verdict, "quote": quote})
@@ -43,23 +51,8 @@ def _assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, doc_id FROM q JOIN s ON contains(sn, qn) WHERE qn <> '' AND len(string_split(qn, ' ')) >= 2"""
 )
 def ground_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items quoted whole in a document: a quote of a longest word first, then the exact substring check."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", "text", tx.normalize(F.col("text")).alias("qn"))
-    q = q.where(F.size(F.split("qn", " ")) >= 2)
-    toks = F.split("qn", " ")
-    # An inner token (never cut by the substring's ends) of most letters must be a token of the source.
-    inner = F.when(F.size(toks) > 2, F.slice(toks, 2, F.size(toks) - 2))
-    probe = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    q = q.withColumn("probe", probe)
-    s = table(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.col("text")).alias("sn"))
-    wanted = q.where("probe is not null").select("probe").distinct()
-    from groundwell.operators.sizing import broadcast_if_small
-
-    held = s.select("doc_id", "sn", F.explode(F.array_distinct(F.split("sn", " "))).alias("probe")).join(broadcast_if_small(wanted), "probe", "left_semi")
-    hit = held.join(broadcast_if_small(q.select("item_id", "text", "probe")), "probe").where(gr.is_grounded(F.col("text"), F.col("sn")))
-    short = q.where("probe is null").select("item_id", "text")
-    few = s.crossJoin(broadcast_if_small(short)).where(gr.is_grounded(F.col("text"), F.col("sn")))
-    return hit.select("item_id", "doc_id").unionByName(few.select("item_id", "doc_id"))
+    """Benchmark items quoted whole in a document."""
+    return gr.quote_hits(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @reg.add(f"WITH {_BASE} SELECT doc_id, pos, len({_TERMS}) > 0 AND len(list_filter({_TERMS}, lambda t: contains(source_norm, t))) = 0 AS absent FROM (SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN criterion ELSE 'xylograph ' || patient_norm END AS criterion, source_norm FROM aa)")
@@ -74,16 +67,16 @@ def ground_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.ground_assessments(_assessments(spark, sf_dir), patient_norm="patient_norm").select("doc_id", "pos", "kind", "verdict", "grounded", "grounded_by", "grounding_failure")
 
 
-#: Quotes of the stress test: the item's words three to eight, found in a source made of the item.
+#: Quotes of the stress test: all of the item's words, found in a source made of the item.
 @reg.add(
-    f"""WITH c AS (SELECT item_id, {norm_sql("text")} AS s, list_filter(string_split({norm_sql("text")}, ' '), lambda y: y <> '')[3:8] AS q FROM benchmark
+    f"""WITH c AS (SELECT item_id, {norm_sql("text")} AS s, list_filter(string_split({norm_sql("text")}, ' '), lambda y: y <> '') AS q FROM benchmark
     ), g AS (SELECT *, list_filter(q, lambda t: length(t) >= 3 AND t NOT IN {in_list(tx.CONTENT_STOPWORDS)}) AS k FROM c WHERE len(q) >= 2
     ), e AS (SELECT item_id, s, q, (unnest(generate_series(1, len(k))) - 1) AS i, unnest(k) AS tok FROM g
     ), r AS (SELECT NOT contains(s, array_to_string(list_transform(q, lambda t: CASE WHEN t = tok THEN 'zzq' || i || 'xq' ELSE t END), ' ')) AS caught FROM e)
     SELECT (SELECT count(*) FROM r)::BIGINT AS corrupted, (SELECT count(*) FROM r WHERE caught)::BIGINT AS caught, (SELECT count(*) FROM g)::BIGINT AS genuine, (SELECT count(*) FROM g WHERE contains(s, array_to_string(q, ' ')))::BIGINT AS kept"""
 )
 def stress_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"), F.array_join(F.slice(tx.tokenize(F.col("text")), 3, 6), " ").alias("quote"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"), F.array_join(tx.tokenize(F.col("text")), " ").alias("quote"))
     cases = b.withColumn("grounded", F.size(tx.tokenize(F.col("quote"))) >= 2)
     return gr.stress_test(cases, ["item_id"]).select("corrupted", "caught", "genuine", "kept")
 
@@ -195,14 +188,11 @@ def prompt_registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bounded_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failing documents are labelled again: the second answer quotes right except for every third, whose third is as the first."""
-    a = _assessments(spark, sf_dir)
-    raw = a.drop("source_norm", "patient_norm")
-    pairs = a.select("doc_id", "source_norm", "patient_norm").distinct()
+    pairs = cut(_sources(spark, sf_dir).dropDuplicates(["doc_id"]))
 
     def label(todo: DataFrame, attempt: int) -> DataFrame:
-        again = raw.join(todo.select("doc_id"), "doc_id", "left_semi")
+        again = _answered(todo.select("doc_id", "text"))
         return again.withColumn("quote", F.when(F.col("doc_id") % 3 == 0, F.col("quote")).otherwise(F.col("criterion"))) if attempt == 1 else again
 
-    done = gr.bounded_retry(pairs, label, ["doc_id"])
-    facts = done.groupBy("doc_id").agg(F.max("attempt").alias("retries"), F.count_if("grounding_failure").alias("failures"))
-    return facts.join(gr.rollup(done, ["doc_id"]), "doc_id").select("doc_id", "retries", "trial_verdict", "failures")
+    done = gr.bounded_retry(pairs, label, ["doc_id"], cut=cut)
+    return done.groupBy("doc_id").agg(F.max("attempt").alias("retries"), gr.verdict_of().alias("trial_verdict"), F.count_if("grounding_failure").alias("failures"))

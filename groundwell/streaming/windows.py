@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwell.operators.sizing import broadcast_if_small
+
 
 def _late(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
     return df.withWatermark(ts, watermark) if watermark and df.isStreaming else df
@@ -27,5 +29,5 @@ def deduplicated(df: DataFrame, keys: list[str], ts: str, watermark: str = "1 ho
 
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Stream-static join to a price list of a few rows."""
-    return usage.join(F.broadcast(prices), "event_type", "left")
+    """Stream-static join to a price list, broadcast if it is small."""
+    return usage.join(broadcast_if_small(prices), "event_type", "left")

@@ -36,7 +36,8 @@ def test_dense_order_and_batched_twin(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
     got = dn.dense_top_k(docs, q, 3).orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == ["near", "mid", "far"] and got[0]["score"] == pytest.approx(1.0)
-    assert [tuple(r) for r in dn.dense_top_k_batched(docs, q, 3).orderBy("rank").collect()] == [tuple(r) for r in got]
+    plain = lx.top_k(dn.dense_scores(docs, q), 3).orderBy("rank").collect()
+    assert [tuple(r) for r in plain] == [tuple(r) for r in got]
     assert dn.dense_top_k(docs.limit(0), q, 3).count() == 0
 
 
@@ -67,12 +68,13 @@ def test_bm25_matches_plain_python(spark):
 def test_bm25_pool_pads_with_zero_scores(spark):
     df = spark.createDataFrame([(i, "x" if i == 7 else "y") for i in range(1, 9)], "doc_id int, text string")
     q = spark.createDataFrame([("q", "x")], "query_id string, text string")
-    assert [r["doc_id"] for r in lx.bm25_pool_with_zero_scores(df, q, 4).orderBy("rank").collect()] == [7, 1, 2, 3]
+    assert [r["doc_id"] for r in lx.bm25_pool_with_zero_scores(df, lx.build_index(df), q, 4).orderBy("rank").collect()] == [7, 1, 2, 3]
 
 
 def test_websearch_match(spark):
     df = spark.createDataFrame([(1, "lung cancer with carboplatin"), (2, "cancer of the lung"), (3, "breast tumours")], "doc_id int, text string")
-    ids = lambda q: sorted(r["doc_id"] for r in lx.fts_search(df, q).collect())
+    v = df.select("doc_id", lx.fts_vector(df["text"]).alias("v"))
+    ids = lambda q: sorted(r["doc_id"] for r in lx.fts_search(v, spark.createDataFrame([("q", q)], "query_id string, text string")).collect())
     assert ids("lung cancers") == [1, 2]
     assert ids('"lung cancer"') == [1]
     assert ids("lung -carboplatin or tumour") == [2, 3]
