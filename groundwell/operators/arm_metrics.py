@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions.stats import matched_summary
@@ -151,6 +151,13 @@ def scores_table(row: DataFrame, names: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[one(n) for n in names])).alias("s")).select("s.*")
 
 
-def observability(spark: SparkSession, arm: dict) -> DataFrame:
-    names = ["citation_precision", "unsupported_verdict_rate", "coverage", "abstention_rate", "trial_accuracy"]
-    return spark.createDataFrame([(n, float(arm[n])) for n in names if n in arm], "name string, value double")
+#: Scores of an arm that are sent to the observer.
+OBSERVED = ["citation_precision", "unsupported_verdict_rate", "coverage", "abstention_rate", "trial_accuracy"]
+
+
+def observability(arm: DataFrame, ledger_before: DataFrame | None = None, ledger_after: DataFrame | None = None) -> DataFrame:
+    """Score rows (:func:`scores_table`) of one arm's row, with ``run_usd``, what the ledger (usd) grew by, where both its states are given."""
+    if ledger_before is not None and ledger_after is not None:
+        total = lambda d, n: d.agg(F.coalesce(F.sum("usd"), F.lit(0)).cast("double").alias(n))
+        arm = arm.crossJoin(total(ledger_before, "__b")).crossJoin(total(ledger_after, "__a")).withColumn("run_usd", F.round(F.col("__a") - F.col("__b"), 8)).drop("__a", "__b")
+    return scores_table(arm, [c for c in [*OBSERVED, "run_usd"] if c in arm.columns])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from groundwell.plans import relational_queries, search_queries, storage_queries, text_queries, verify_queries
+from groundwell.plans import relational_queries, search_queries, source_queries, storage_queries, text_queries, verify_queries
 from groundwell.plans.common import Query
 
-_MODULES = (text_queries, search_queries, verify_queries, storage_queries, relational_queries)
+_MODULES = (text_queries, search_queries, verify_queries, storage_queries, relational_queries, source_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -171,7 +171,7 @@ def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", tx.sse_frame(F.col("event_type"), F.to_json(F.struct("event_id", "user_id"))).alias("frame"))
 
 
-@reg.add()
+@reg.add("SELECT doc_id, (len(string_split(text, chr(10))) - 1)::BIGINT AS n_complete FROM documents")
 def salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers cut inside their last object give the complete ones."""
     items = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("criterion"), F.lit("met").alias("verdict"), F.lit("").alias("quote"), F.lit("").alias("rationale")))

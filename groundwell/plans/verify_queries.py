@@ -130,7 +130,17 @@ def matched_ab_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return am.matched_table(t)
 
 
-@reg.add()
+_LOGP = "lgamma(r1 + 1) - lgamma({x} + 1) - lgamma(r1 - {x} + 1) + lgamma(r2 + 1) - lgamma(c1 - {x} + 1) - lgamma(r2 - c1 + {x} + 1) - lgamma(r1 + r2 + 1) + lgamma(c1 + 1) + lgamma(r1 + r2 - c1 + 1)"
+
+
+@reg.add(
+    f"""WITH {_ARMS}, e AS (SELECT arm, doc_id % 50 AS trial_id, doc_id AS seq, count(*) FILTER (verdict IN ('met', 'not_met') OR gf) AS d, count(*) FILTER (gf) AS u FROM ar GROUP BY ALL
+    ), l AS (SELECT arm, trial_id, arg_max(d, seq) AS d, arg_max(u, seq) AS u FROM e GROUP BY ALL
+    ), m AS (SELECT count(*) AS n, sum(b.u)::DOUBLE AS a, sum(b.d - b.u)::DOUBLE AS b, sum(v.u)::DOUBLE AS c, sum(v.d - v.u)::DOUBLE AS d FROM l b JOIN l v USING (trial_id) WHERE b.arm = 'baseline' AND v.arm = 'verified'
+    ), t AS (SELECT *, a + b AS r1, c + d AS r2, a + c AS c1 FROM m
+    ), p AS (SELECT sum(exp({_LOGP.format(x="x")})) FILTER ({_LOGP.format(x="x")} <= {_LOGP.format(x="a")} + 1e-7) AS p FROM t, unnest(generate_series(greatest(0, c1 - r2)::BIGINT, least(r1, c1)::BIGINT)) AS g(x))
+    SELECT n::BIGINT AS matched_trials, round(a / r1, 4) AS baseline_unsupported_rate, round(c / r2, 4) AS verified_unsupported_rate, round((c / r2 - a / r1) / (a / r1), 4) AS relative_change, round(a * d / (b * c), 4) AS odds_ratio, round(least(1.0, p), 4)::DOUBLE AS fisher_p, p < 0.05 AS significant_05 FROM t, p"""
+)
 def matched_ab_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matched table's odds ratio and Fisher p, on its one row."""
     a = _arms(spark, sf_dir).withColumns({"trial_id": F.col("doc_id") % 50, "patient_seq": F.col("doc_id")})
