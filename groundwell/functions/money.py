@@ -28,7 +28,9 @@ def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     is compared in decimals, so that exactly a tenth is no drift.
     """
     priced = usage.join(broadcast_if_small(prices), ["provider", "model"], "left")
-    exact = F.col("in_tokens") * F.col("usd_in").cast("decimal(10,4)") + F.col("out_tokens") * F.col("usd_out").cast("decimal(10,4)")
+    # precisions that leave every product and difference its eighteen places
+    millionths = lambda tokens, usd: F.col(tokens).cast("decimal(10,0)") * F.col(usd).cast("decimal(8,4)")
+    exact = millionths("in_tokens", "usd_in") + millionths("out_tokens", "usd_out")
     off = F.abs(F.col("provider_usd").cast("decimal(24,18)") * F.lit(1_000_000).cast("decimal(7,0)") - exact)
     table = table_usd(F.col("in_tokens"), F.col("out_tokens"), F.col("usd_in"), F.col("usd_out"))
     reported = F.col("provider_usd").cast("double")

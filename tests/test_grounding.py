@@ -76,5 +76,5 @@ def test_bounded_retry(spark, most, good_from, verdict, attempt):
 
 
 def test_retry_note_names_source_and_failures(spark):
-    note = spark.range(1).select(tx.retry_note(F.lit("note"), F.array(F.lit("crit A")), F.lit("the span"))).first()[0]
+    note = spark.range(1).select(tx.retry_note(F.lit("note"), F.lit(1), F.array(F.lit("crit A")), F.lit("the span"))).first()[0]
     assert note.startswith("note") and "crit A" in note and "the span" in note

@@ -116,5 +116,15 @@ def test_highlight_and_stemmer():
     assert highlight("abc", []) == [{"text": "abc", "hit": False}]
     pairs = {"consistency": "consist", "knackeries": "knackeri", "generously": "generous", "hopping": "hop", "hoping": "hope", "relational": "relat", "happiness": "happi", "skies": "sky", "dying": "die"}
     assert {w: stem(w) for w in pairs} == pairs
-    assert covers([(0, "a"), (1, "b")], {"a", "b"}) == pytest.approx(0.1)
-    assert covers([(0, "a"), (5, "b")], {"a", "b"}) < 0.1
+    both = [[[(0, "a")], [(0, "b")]]]
+    assert covers([(0, "a"), (1, "b")], both) == pytest.approx(0.1)
+    assert covers([(0, "a"), (5, "b")], both) == pytest.approx(0.1 / 5)
+    assert covers([(0, "a"), (1, "b"), (2, "a")], both) == pytest.approx(0.2)
+    assert covers([(0, "a"), (3, "b")], [[[(0, "a")]], [[(0, "b")]]]) == pytest.approx(0.2)
+    assert covers([(0, "a"), (3, "b")], [[[(0, "a"), (1, "b")]]]) == 0.0
+
+
+def test_sentinel_outruns_any_number_of_letters(spark):
+    df = spark.createDataFrame([("has zzq7x" + "q" * 200 + " and zzq7xqq", 7), ("", 7)], "s string, i int")
+    got = [r[0] for r in df.select(tx.sentinel(F.col("s"), F.col("i"))).collect()]
+    assert got == ["zzq7x" + "q" * 201, "zzq7xq"]
