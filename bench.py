@@ -27,8 +27,6 @@ def session(cpus: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
-        # a file of a few tens of MB would otherwise be one task
-        .config("spark.sql.files.maxPartitionBytes", "4m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
