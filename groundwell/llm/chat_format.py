@@ -1,6 +1,8 @@
 r"""Chat formatting with Spark expressions only.
 
-A conversation becomes ``<|im_start|>role\n text <|im_end|>\n`` blocks. Turns of
+The turns of a conversation are collected as structs and sorted; all else is done
+on that array: a turn looks at its neighbours' roles, and where texts begin
+follows from sums over the turns before. A conversation becomes ``<|im_start|>role\n text <|im_end|>\n`` blocks. Turns of
 one role in a row share a block, their texts parted by ``<|im_sep|>``, so every
 turn can be read back. Inside roles and texts a backslash is doubled and ``<|``
 becomes ``<\|``; a newline in a role becomes ``<\n>``. After doubling, a run of
@@ -10,9 +12,11 @@ the steps in reverse restores the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwell.llm.common import sums_before
+
 START, END, SEP = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
 
 
@@ -47,27 +51,29 @@ def format_conversations(
     conversation; repeated rows are turns of their own; no rows give no rows.
     One conversation is one output string, so its turns meet in one task.
     """
-    t = df.select(
-        F.col(conv).alias("c"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
-    )
-    w = Window.partitionBy("c").orderBy("t")
-    opens = ~F.coalesce(F.lag("t.role").over(w) == F.col("t.role"), F.lit(False))
-    closes = ~F.coalesce(F.lead("t.role").over(w) == F.col("t.role"), F.lit(False))
-    t = t.withColumns({"opens": opens, "closes": closes, "head": F.concat(F.lit(START), escape_role(F.col("t.role")), F.lit("\n")), "body": escape(F.col("t.text"))})
-    lead = F.when(F.col("opens"), F.length("head")).otherwise(F.lit(len(SEP)))
-    t = t.withColumns({"lead": lead, "size": F.length("body"), "all": lead + F.length("body") + F.when(F.col("closes"), F.lit(len(END))).otherwise(F.lit(0))})
-    before = F.coalesce(F.sum(F.col("all").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("at", before + F.col("lead"))
-    turns = t.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("at", "opens", F.col("t.role").alias("role"), "head", "body", "size"))).alias("turns"))
-
-    def blocks(s: Column) -> Column:
-        firsts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.element_at(s, i)["opens"])
-        body = lambda f, k: F.slice(s, F.get(f, k), F.coalesce(F.get(f, k + 1), F.size(s) + 1) - F.get(f, k))
-        return _bound(firsts, lambda f: F.transform(f, lambda i, k: F.concat(F.element_at(s, i)["head"], F.array_join(F.transform(body(f, k), lambda x: x["body"]), SEP), F.lit(END))))
-
-    spans = F.transform(F.filter("turns", lambda x: x["role"] == learn), lambda x: F.struct(x["at"].alias("start"), x["size"].cast("long").alias("length")))
-    return turns.select(F.col("c").alias(conv), F.array_join(_bound(F.col("turns"), blocks), "").alias("formatted"), spans.alias("loss_spans"))
+    turns = df.groupBy(F.col(conv).alias("c")).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("t"))
+
+    def marked(s: Column) -> Column:
+        """Each turn with what stands before its text, its escaped text, what stands after, and whether it opens a block."""
+        same = lambda i, k: F.get(s, i)["role"].eqNullSafe(F.get(s, i + k)["role"])
+        head = lambda x: F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n"))
+        return F.transform(
+            s,
+            lambda x, i: F.struct(
+                F.when((i > 0) & same(i, -1), F.lit(SEP)).otherwise(head(x)).alias("lead"),
+                escape(x["text"]).alias("body"),
+                F.when((i + 1 < F.size(s)) & same(i, 1), F.lit("")).otherwise(F.lit(END)).alias("tail"),
+                (x["role"] == learn).alias("learn"),
+            ),
+        )
+
+    pieces = turns.select("c", _bound(F.col("t"), marked).alias("p"))
+    size = lambda x: (F.length(x["lead"]) + F.length(x["body"]) + F.length(x["tail"])).cast("long")
+    placed = pieces.select("c", "p", sums_before(F.transform("p", size)).alias("at"))
+    span = F.zip_with("p", "at", lambda x, at: F.struct(x["learn"].alias("learn"), (at + F.length(x["lead"])).alias("start"), F.length(x["body"]).cast("long").alias("length")))
+    spans = F.transform(F.filter(span, lambda x: x["learn"]), lambda x: F.struct(x["start"], x["length"]))
+    formatted = F.array_join(F.transform("p", lambda x: F.concat(x["lead"], x["body"], x["tail"])), "")
+    return placed.select(F.col("c").alias(conv), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

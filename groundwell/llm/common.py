@@ -1,13 +1,14 @@
-"""Shared helpers: lineage cuts, word splitting, skew-safe ranking."""
+"""Shared helpers: word splitting, skew-safe joins and ranking, prefix sums in a row."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundwell.operators.lineage import cut, release  # noqa: F401 - the operators take them from here
+
 #: Words are maximal runs of anything but space and the ASCII controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Groups of at least one row in so many are few enough to broadcast: as many groups at most.
@@ -15,33 +16,6 @@ HOT_SHARE = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once on shared storage and forget how it was made.
-
-    Uses the cluster's ``spark.checkpoint.dir``. Where that is unset, a local
-    session (tests, a laptop) gets a temporary folder; on a cluster it is an
-    error, since executors do not share such folders. The files are replicated
-    by the store, so a lost executor costs a re-read.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master or "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="groundwell-"))
-    return df.checkpoint(eager=True)
-
-
-def release(df: DataFrame) -> None:
-    """Deletes the files of a ``cut`` table that nothing will read again, so that rounds do not pile up on disk."""
-    plan = df._jdf.queryExecution().logical()
-    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
-    if file is not None and file.isDefined():
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def with_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values: Sequence[str], size: str, n_rows: int, spread_by: str, how: str = "inner") -> DataFrame:
     """``rows`` with the ``values`` of their group, of which ``groups`` has one row per ``keys`` and its ``size``.
 
@@ -103,3 +77,23 @@ def bucket_offsets(df: DataFrame, keys: Sequence[str], bucket: str = "bucket") -
     per = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*keys)
     return per.withColumn("before", F.sum("n").over(w.orderBy(bucket)) - F.col("n")).withColumn("total", F.sum("n").over(w))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row; maps, which cannot be hashed, as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def sums_before(sizes: Column, chunk: int = 256) -> Column:
+    """For each number of an array the sum of those before it, by sums within chunks and of chunks, so that long arrays are not quadratic."""
+
+    def within(xs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("before"))
+        return F.aggregate(xs, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before")))
+
+    def whole(xs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(chunk)), lambda i: i <= F.size(xs))
+        parts = F.transform(starts, lambda i: within(F.slice(xs, i, chunk)))
+        return F.transform(F.array(parts), lambda ps: F.flatten(F.zip_with(ps, within(F.transform(ps, lambda p: p["sum"]))["before"], lambda p, b: F.transform(p["before"], lambda x: x + b))))[0]
+
+    return F.transform(F.array(sizes), whole)[0]

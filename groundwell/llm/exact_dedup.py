@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import ascii_lower, cut, with_groups
+from groundwell.llm.common import ascii_lower, cut, row_hash, with_groups
 
 #: Positions in one block (4 KB), fixed by Spark's bitmap functions.
 BITMAP_BITS = 32_768
@@ -121,8 +121,7 @@ def drop_exact_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_
     rows equal in every column are collapsed to one, being the same row. Nulls,
     empty texts and an empty table behave as in :func:`exact_duplicates`.
     """
-    whole = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes])
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _sha(text).alias("sha"), F.col(id_col).alias("id"), whole.alias("tag")).withColumn("h", F.xxhash64("sha"))
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _sha(text).alias("sha"), F.col(id_col).alias("id"), row_hash(df).alias("tag")).withColumn("h", F.xxhash64("sha"))
     _, maybe, _ = _split(cut(keyed.select("id", "sha", "h", "tag")), bits_per_row, slice_blocks)
     # of equal (id, tag) pairs there are as many as rows equal in every column
     pairs = maybe.groupBy("sha", "h", "id", "tag").agg(F.count(F.lit(1)).alias("times"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from groundwell.llm.common import bucket_offsets, cut, spread, word_count
+from groundwell.llm.common import bucket_offsets, cut, row_hash, spread, with_groups, word_count
 
 #: Passes over a source at most.
 MOST = 3
@@ -76,14 +76,42 @@ def source_plan(sums: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: i
     return known.select("src", F.col("s").alias("source_size"), F.least(weight * found, cap.cast("double")).alias("target"), "c")
 
 
+def _with_giants(lengths: list[int], counts: list[int], budget: int, big: list[int]) -> list[int]:
+    """:func:`fit_budget` where the lengths ``big`` are too long for its table.
+
+    They give, the longest first, what the others together cannot reach; then
+    the others are fitted to what is left, once as it is and once with one
+    document more of the shortest that is to be had.
+    """
+    small = [i for i in range(len(lengths)) if i not in {*big}]
+    can = sum(lengths[i] * counts[i] for i in small)
+    take, left = [0] * len(lengths), budget
+    for i in sorted(big, key=lambda i: -lengths[i]):
+        n = max(0, min(counts[i] - take[i], left // lengths[i], -(-(left - can) // lengths[i])))
+        take[i] += n
+        left -= n * lengths[i]
+
+    def filled(have: list[int], rest: int) -> tuple[int, list[int]]:
+        given, out = fit_budget([lengths[i] for i in small], [counts[i] for i in small], max(0, rest)), list(have)
+        for i, t in zip(small, given):
+            out[i] = t
+        return abs(rest - sum(lengths[i] * t for i, t in zip(small, given))), out
+
+    tried = [filled(take, left)]
+    more = [i for i in big if take[i] < counts[i]]
+    if more:
+        i = min(more, key=lambda i: lengths[i])
+        tried.append(filled([t + (k == i) for k, t in enumerate(take)], left - lengths[i]))
+    return min(tried, key=lambda x: x[0])[1]
+
+
 def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that the words come as near ``budget`` as can be.
 
     Every length first gives its proportional number; the rest, less than one
     document of each length, is cut down greedily from the longest and closed
     by a bounded-knapsack table over sums up to three times the longest
-    document, or up to ``TABLE`` words; documents too long for that table are
-    taken while they leave as much to the others.
+    document. Documents too long for a table of ``TABLE`` sums are chosen first.
     """
     import numpy as np
 
@@ -92,19 +120,17 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
+    if big := [i for i, l in enumerate(lengths) if l > TABLE // 3]:
+        return _with_giants(lengths, counts, budget, big)
     take = [c * budget // total for c in counts]
     rest = budget - sum(l * t for l, t in zip(lengths, take))
-    longest = min(max(lengths), TABLE // 3)
+    longest = max(lengths)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:
         while lengths[i] and take[i] < counts[i] and rest - lengths[i] >= longest:
             n = min(counts[i] - take[i], (rest - longest) // lengths[i])
             take[i] += n
             rest -= n * lengths[i]
-    if rest > TABLE - longest:  # nothing is left but documents about as long as the rest: one of them or none
-        i = min((i for i in order if take[i] < counts[i]), key=lambda i: abs(lengths[i] - rest))
-        take[i] += abs(lengths[i] - rest) < rest
-        return take
     # Bounded knapsack: first[s] is the item (length i, how many) that first reached sum s.
     most = rest + longest
     reach = np.zeros(most + 1, bool)
@@ -132,24 +158,19 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
-def mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
-    """One row per input row: ``id_col, size, source_size, target, taken``.
+def _counted(df: DataFrame, text: str, source: str, weights: tuple[float, ...], seed: int, *ids) -> tuple[DataFrame, DataFrame]:
+    """Checkpointed (id..., src, size, h, bucket) rows, and (src, size, bucket, n, before, base, extra, source_size, target).
 
-    ``taken`` is the words that the mix takes of the document, repeats counted:
-    0 to 3 times its size. Null texts have size 0 and null sources are one
-    source, ordered last. Rows of one id are picked apart by their order in the
-    seeded hash; which of several equal rows is picked makes no difference to
-    the mix. An empty table gives no rows, a table without words takes none.
-    There may be any number of sources; what meets in one task are the distinct
-    lengths of one source.
+    Rows are counted by source, length and a bucket of their seeded hash ``h``;
+    the extra copies of a length go to its first rows by bucket, then hash.
     """
     key = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
-    docs = cut(df.select(F.col(id_col).alias("id"), key.alias("src"), word_count(F.col(text)).alias("size")))
+    docs = cut(df.select(*ids, key.alias("src"), word_count(F.col(text)).alias("size")))
     docs = docs.withColumn("h", F.xxhash64("id", F.lit(seed)))
     sums = cut(docs.groupBy("src").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")))
     plan = source_plan(sums, weights)
     n_buckets = spread(sums.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(n_buckets)).cast("int"))
+    dealt = docs.withColumn("bucket", _bucket(n_buckets))
     offsets = cut(bucket_offsets(dealt, ["src", "size"]))
     by_length = offsets.groupBy("src", "size").agg(F.sum("n").alias("count")).join(plan.drop("c"), "src")
 
@@ -164,28 +185,74 @@ def mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str =
         return pd.DataFrame({"src": pdf["src"], "size": pdf["size"], "source_size": size, "target": goal_, "base": base, "extra": extra})
 
     fitted = by_length.groupBy("src").applyInPandas(fit, "src string, size long, source_size long, target double, base long, extra long")
-    quota = offsets.join(fitted, ["src", "size"]).select("src", "size", "bucket", "source_size", "target", "base", (F.col("extra") - F.col("before")).alias("room"))
+    return dealt, offsets.select("src", "size", "bucket", "n", "before").join(fitted, ["src", "size"])
+
+
+def _bucket(n_buckets: int):
+    return F.pmod(F.xxhash64("h"), F.lit(n_buckets)).cast("int")
+
+
+def mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+    """One row per input row: ``id_col, size, source_size, target, taken``.
+
+    ``taken`` is the words that the mix takes of the document, repeats counted:
+    0 to 3 times its size. Null texts have size 0 and null sources are one
+    source, ordered last. Rows of one id are picked apart by their order in the
+    seeded hash; which of several equal rows is picked makes no difference to
+    the mix. An empty table gives no rows, a table without words takes none.
+    There may be any number of sources; what meets in one task are the distinct
+    lengths of one source.
+    """
+    dealt, quota = _counted(df, text, source, weights, seed, F.col(id_col).alias("id"))
     w = Window.partitionBy("src", "size", "bucket").orderBy("h", "id")
-    ranked = dealt.join(quota, ["src", "size", "bucket"]).withColumn("rank", F.row_number().over(w))
-    copies = F.col("base") + (F.col("rank") <= F.col("room")).cast("long")
+    ranked = dealt.join(quota.drop("n"), ["src", "size", "bucket"]).withColumn("rank", F.row_number().over(w))
+    copies = F.col("base") + (F.col("rank") <= F.col("extra") - F.col("before")).cast("long")
     return ranked.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
+#: Lengths of sources whose cut-offs are sent to every executor: some 60 MB.
+CUTOFFS = 1 << 20
+
+
+def cutoffs(dealt: DataFrame, quota: DataFrame) -> DataFrame:
+    """(src, size, rows, base, edge, h_edge, at_edge, held): a length's rows before bucket ``edge``, and in it those of hash below ``h_edge``, get one more copy.
+
+    ``held`` of them have just ``h_edge``, and ``at_edge`` of those get one more.
+    """
+    room = F.col("extra") - F.col("before")
+    edges = quota.where((room > 0) & (room <= F.col("n"))).select("src", "size", "bucket", room.alias("room"))
+    near = dealt.join(edges, ["src", "size", "bucket"]).groupBy("src", "size", "bucket", "room", "h").agg(F.count(F.lit(1)).alias("held"))
+    upto = F.sum("held").over(Window.partitionBy("src", "size", "bucket").orderBy("h"))
+    last = near.withColumn("upto", upto).where((F.col("upto") >= F.col("room")) & (F.col("upto") - F.col("held") < F.col("room")))
+    last = last.select("src", "size", F.col("bucket").alias("edge"), F.col("h").alias("h_edge"), (F.col("room") - F.col("upto") + F.col("held")).alias("at_edge"), "held")
+    return quota.groupBy("src", "size").agg(F.sum("n").alias("rows"), F.max("base").alias("base")).join(last, ["src", "size"], "left")
+
+
 def apply_mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """The mixed table: each row of ``df`` as often as the mix takes it, columns unchanged.
 
     Documents without words cost nothing and stay once. Rows that share an id
-    are told apart by a hash of the whole row; nulls are as in :func:`mix`.
+    are told apart by a hash of the whole row; nulls are as in :func:`mix`. What
+    a row gets follows from its source, length and hash and the cut-off of its
+    length, so texts are not shuffled unless there are very many lengths; only rows equal in every column, where
+    some of them get one more copy, are brought together.
     """
-    whole = F.xxhash64(*[F.to_json(F.struct(F.col(c))) if t.startswith("map") else F.col(c) for c, t in df.dtypes])
-    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("t"), F.col(source).alias("s"), F.struct(F.col(id_col).alias("i"), whole.alias("tag")).alias("id"))
-    chosen = mix(tagged, "t", "id", "s", weights, seed)
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("taken div size")).cast("int")
-    times = chosen.select(F.col("id.i").alias("i"), F.col("id.tag").alias("tag"), copies.alias("n")).groupBy("i", "tag").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
-    # Rows equal in every column share their copies: each of them emits the mean, the first also the rest.
-    out = tagged.select("row", F.col("id.i").alias("i0"), F.col("id.tag").alias("tag0")).join(
-        times.where("total > 0"), F.col("i0").eqNullSafe(F.col("i")) & (F.col("tag0") == F.col("tag"))
-    )
-    single = out.where("rows = 1").select("row", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))).alias("k"))
-    many = out.where("rows > 1").groupBy("i0", "tag0").agg(F.first("row").alias("row"), F.first("total").alias("total")).select("row", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))).alias("k"))
-    return single.select("row.*").unionByName(many.select("row.*"))
+    named = F.struct(F.col(id_col).alias("i"), row_hash(df).alias("tag")).alias("id")
+    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("t"), F.col(source).alias("s"), named)
+    dealt, quota = _counted(tagged, "t", "s", weights, seed, F.col("id"))
+    edges = cut(cutoffs(dealt, quota))
+    n_rows = dealt.count()
+    key = F.when(F.col("s").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("s").cast("string")))
+    rows = tagged.select("row", key.alias("src"), word_count(F.col("t")).alias("size"), F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("bucket", _bucket(spread(n_rows)))
+    if edges.count() <= CUTOFFS:
+        known = rows.join(F.broadcast(edges), ["src", "size"])
+    else:
+        known = with_groups(rows, edges, ["src", "size"], ["base", "edge", "h_edge", "at_edge", "held"], "rows", n_rows, "h")
+    at_edge = F.coalesce((F.col("bucket") == F.col("edge")) & (F.col("h") == F.col("h_edge")), F.lit(False))
+    below = F.coalesce((F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.col("h") < F.col("h_edge"))), F.lit(False))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("base") + (below | (at_edge & (F.col("at_edge") == F.col("held")))).cast("long")).cast("int")
+    known = known.withColumns({"copies": copies, "split": at_edge & (F.col("at_edge") < F.col("held")) & (F.col("size") > 0)})
+    times = lambda n: F.explode(F.sequence(F.lit(1), n))
+    single = known.where("not split and copies > 0").select("row", times(F.col("copies")).alias("k"))
+    equal = known.where("split").groupBy("src", "size", "h").agg(F.first("row").alias("row"), F.first((F.col("base") * F.col("held") + F.col("at_edge")).cast("int")).alias("n"))
+    return single.unionByName(equal.where("n > 0").select("row", times(F.col("n")).alias("k"))).select("row.*")

@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import cut, release, with_groups
+from groundwell.llm.common import cut, release, row_hash, with_groups
 from groundwell.llm.graph import components
 
 BITS = 64
@@ -218,9 +218,8 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_i
     stay together. Null ids sort before all others. Nulls and empty texts are
     as in :func:`simhash_groups`.
     """
-    whole = F.xxhash64(*[F.to_json(F.struct(F.col(c))) if t_.startswith("map") else F.col(c) for c, t_ in df.dtypes])
     kind = dict(df.dtypes)[id_col]
-    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("body"), F.col(id_col).alias("rid"), whole.alias("tag"))
+    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("body"), F.col(id_col).alias("rid"), row_hash(df).alias("tag"))
     rows = cut(fingerprints(tagged, "body", [F.col("rid").alias("id"), F.col("tag")], f"id {kind}, tag long", shingle))
     nodes = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag")).alias("low")))
     n = nodes.count()
