@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+from groundwell.llm.license_scan import CONTAINED, SHINGLE, SHORT_TEMPLATES, TEMPLATES
 from groundwell.llm.quality_rules import RULES, STOP_WORDS
 
 #: Words of a text, as in the operators.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_TERMS = r"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> '')"
+_NOTICES = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in sorted((TEMPLATES | SHORT_TEMPLATES).items()))
+
+# Every window that a template's shingle falls into, by plain counting.
+OP2 = f"""
+WITH tn AS (SELECT license, w, least(len(w), {SHINGLE}) AS width FROM (SELECT license, {_TERMS.format(x="body")} AS w FROM (VALUES {_NOTICES}) AS t(license, body))
+), ts AS (SELECT DISTINCT license, width, array_to_string(w[i:i + width - 1], ' ') AS sh FROM tn, unnest(generate_series(1, len(w) - width + 1)) AS g(i)
+), tc AS (SELECT license, width, count(*) AS n, (2 ** ceil(log2(count(*))))::BIGINT AS span FROM ts GROUP BY ALL
+), ds AS (SELECT doc_id, width, i - 1 AS p, array_to_string(w[i:i + width - 1], ' ') AS sh
+  FROM (SELECT doc_id, {_TERMS.format(x="text")} AS w FROM documents), (SELECT DISTINCT width FROM tn), unnest(generate_series(1, len(w) - width + 1)) AS g(i)
+), hit AS (SELECT doc_id, license, n, sh, p // span AS k, span FROM ds JOIN ts USING (width, sh) JOIN tc USING (license, width)
+), win AS (SELECT doc_id, license, n, sh, (k - b) * span AS start FROM hit, (VALUES (0), (1)) AS v(b) WHERE k >= b
+), c AS (SELECT doc_id, license, start, count(DISTINCT sh) / n::DOUBLE AS containment FROM win GROUP BY doc_id, license, start, n
+), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start) AS rn FROM c WHERE containment >= {CONTAINED})
+SELECT doc_id, license, containment, start::INTEGER AS word_at FROM r WHERE rn = 1
+"""
+
 OP4 = r"""
 WITH src AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -52,4 +70,4 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4, "op7_quality_rules": OP7, "op10_exact_dedup": OP10}
+    return {"op2_license_scan": OP2, "op4_chat_format": OP4, "op7_quality_rules": OP7, "op10_exact_dedup": OP10}
