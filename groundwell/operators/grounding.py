@@ -106,15 +106,16 @@ def bounded_retry(pairs: DataFrame, label: Callable[[DataFrame, int], DataFrame]
 
     ``label(pairs, attempt)`` gives ``keys, pos, criterion, kind, verdict, quote``;
     pairs have ``keys, source_norm, patient_norm`` and, from the second attempt
-    on, ``failed``: the last attempt's ungrounded criteria in order. A retry
-    replaces all of a pair's criteria. ``cut`` materialises a pass so that no
-    pass is labelled twice.
+    on, ``failed``: the last attempt's ungrounded criteria in order. Answers that
+    carry their pair's two texts along need no join. A retry replaces all of a
+    pair's criteria. ``cut`` materialises a pass so that no pass is labelled twice.
     """
     todo, done = pairs, None
     for attempt in range(max_retries + 1):
         answers = label(todo, attempt)
-        texts = todo.select(*keys, "source_norm", "patient_norm")
-        out = ground_assessments(answers.join(texts, keys), patient_norm="patient_norm").withColumn("attempt", F.lit(attempt)).drop("source_norm", "patient_norm")
+        carried = {"source_norm", "patient_norm"} <= {*answers.columns}
+        told = answers if carried else answers.join(todo.select(*keys, "source_norm", "patient_norm"), keys)
+        out = ground_assessments(told, patient_norm="patient_norm").withColumn("attempt", F.lit(attempt)).drop("source_norm", "patient_norm")
         out = cut(out) if cut else out
         kept = out
         if attempt < max_retries:

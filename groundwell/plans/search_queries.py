@@ -122,7 +122,7 @@ def _fts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @reg.add(f"WITH {_BM25} SELECT n::BIGINT AS n_docs, n_terms::BIGINT AS n_terms, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM nn, av")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lx.corpus_stats(_index(spark, sf_dir)).select("n_docs", "n_terms", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
+    return _index(spark, sf_dir).stats.select("n_docs", "n_terms", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
 @reg.add(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM br WHERE rank <= 50")

@@ -201,8 +201,9 @@ def bounded_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cut(_sources(spark, sf_dir).dropDuplicates(["doc_id"]))
 
     def label(todo: DataFrame, attempt: int) -> DataFrame:
-        again = _answered(todo.select("doc_id", "text"))
+        again = _answered(todo.drop("failed"))
         return again.withColumn("quote", F.when(F.col("doc_id") % 3 == 0, F.col("quote")).otherwise(F.col("criterion"))) if attempt == 1 else again
 
-    done = gr.bounded_retry(pairs, label, ["doc_id"], cut=cut)
+    # only what is asked of a pass is kept of it
+    done = gr.bounded_retry(pairs, label, ["doc_id"], cut=lambda df: cut(df.select("doc_id", "pos", "criterion", "kind", "verdict", "grounding_failure", "attempt")))
     return done.groupBy("doc_id").agg(F.max("attempt").alias("retries"), gr.verdict_of().alias("trial_verdict"), F.count_if("grounding_failure").alias("failures"))
