@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions.money import estimate_tokens
-from groundwell.functions.text import analyst_cache_key, is_blank, normalize, retry_note, user_prompt
+from groundwell.functions.text import analyst_cache_key, is_blank, normalize, parse_keywords, retry_note, user_prompt
 from groundwell.operators.criteria import MAX_CRITERIA, attach_kinds, build_typed_criteria, parse_answer
 from groundwell.operators.grounding import bounded_retry, rollup
 from groundwell.operators.ledger import budget_breaker
 from groundwell.operators.lineage import cut
 from groundwell.operators.models import label
+from groundwell.operators.retrieve import generate_keywords, keyword_misses
 from groundwell.operators.sizing import broadcast_if_small
 from groundwell.operators.stateful import take_until_breach
 
@@ -98,6 +99,29 @@ def label_pairs(pairs: DataFrame, cached: DataFrame, policy: Policy, keys: tuple
     return Labelled(answers, usage, writes)
 
 
+class BudgetExhausted(RuntimeError):
+    """The day's budget does not leave room for all that is asked."""
+
+
+def expand_keywords(notes: DataFrame, disk: DataFrame, store: DataFrame, policy: Policy, n_max: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keywords of every note (:func:`generate_keywords`), the usage of fresh calls, and the (query_id, keywords) that the store takes.
+
+    Only notes that neither the disk nor the store answers reach the model; an
+    answer that fails or is no JSON leaves the note itself as keyword. A spent
+    budget is raised before any call instead, so that no note passes for a keyword.
+    """
+    seq = F.row_number().over(Window.partitionBy("account").orderBy("query_id"))
+    todo = keyword_misses(notes, disk, store).select("query_id", F.lit(policy.system).alias("system"), F.col("text").alias("user"), F.lit(policy.provider).alias("account"))
+    cost = todo.withColumn("seq", seq).withColumn("tokens", estimate_tokens(F.concat("system", "user")) + ANSWER_TOKENS).withColumn("usd", F.col("tokens") * policy.usd_in / 1e6)
+    gated = cut(budget_breaker(cost, policy.usd_left, policy.tokens_left, ("account",)))
+    if not gated.where("not allowed").isEmpty():
+        raise BudgetExhausted(f"{gated.where('not allowed').count()} of {gated.count()} notes are beyond the budget")
+    made = cut(label(gated.select("query_id", "system", "user"), policy.labeller))
+    fresh = made.select("query_id", F.when(F.col("error").isNull(), parse_keywords(F.coalesce("raw", F.lit("")), n_max)).alias("keywords")).where(F.size("keywords") > 0)
+    usage = made.where("error is null").select("query_id", F.lit(policy.provider).alias("provider"), F.lit(policy.model).alias("model"), "served_model", "in_tokens", "out_tokens", "provider_usd")
+    return generate_keywords(notes, disk, store, fresh, n_max), usage, fresh
+
+
 def assess(
     candidates: DataFrame, answer: Callable[[DataFrame, int], DataFrame], max_retries: int = 2, keys: tuple[str, ...] = ("query_id", "doc_id")
 ) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions.vector import dot, l2_normalize
-from groundwell.operators.sizing import broadcast_blocks, broadcast_if_small
+from groundwell.operators.sizing import broadcast_blocks
 
 #: Queries whose vectors are sent to every executor at once: 61 MB at 768 dimensions.
 BLOCK_QUERIES = 10_000
@@ -99,10 +99,12 @@ def dense_top_k(
 
 
 def ivf_centroids(docs: DataFrame, lists: int, vector: str = "embedding", rounds: int = 8, sample_rows: int = 20_000, seed: int = 0) -> list[list[float]]:
-    """Spherical k-means on a bounded sample; every vector is indexed afterwards."""
+    """Spherical k-means on a bounded sample; every vector is indexed afterwards. No vectors give no centroids."""
     import numpy as np
 
     sample = docs.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(F.col(vector), F.lit(seed))).limit(sample_rows).collect()
+    if not sample:
+        return []
     x = np.asarray([r[0] for r in sample], np.float64)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
@@ -115,16 +117,76 @@ def ivf_centroids(docs: DataFrame, lists: int, vector: str = "embedding", rounds
     return c.tolist()
 
 
-def _nearest(vector, centroids: list[list[float]], n: int):
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
-    ranked = F.array_sort(F.transform(table, lambda c, i: F.struct((-dot(vector, c)).alias("d"), i.alias("i"))))
-    return F.transform(F.slice(ranked, 1, n), lambda x: x["i"])
+def _nearest(m, centroids, n: int):
+    """The ``n`` lists nearest to each row, the first of equals first."""
+    import numpy as np
+
+    return np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :n]
+
+
+def ivf_index(docs: DataFrame, centroids: list[list[float]], id_col: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """(doc_id, embedding, list): every vector with its nearest list; written by list, a search reads only what it probes."""
+    import numpy as np
+
+    d = docs.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(vector).alias("embedding"))
+    kinds = dict(d.dtypes)
+    sent = docs.sparkSession.sparkContext.broadcast(np.asarray(centroids, np.float64))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_nearest(m, sent.value, 1)[:, 0].astype(np.int32))], ["doc_id", "embedding", "list"])
+
+    return d.mapInArrow(run, f"doc_id {kinds['doc_id']}, embedding {kinds['embedding']}, list int")
+
+
+def ivf_top_k(index: DataFrame, queries: DataFrame, centroids: list[list[float]], probes: int, k: int = 50, digits: int = 6, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """(query_id, doc_id, score, rank) among the vectors of each query's ``probes`` nearest lists; all lists give the exact answer.
+
+    ``index`` is :func:`ivf_index`'s; lists that no query of a block probes are not read.
+    """
+    import numpy as np
+
+    spark, near = queries.sparkSession, None
+    kinds = dict(index.dtypes)["doc_id"], dict(queries.dtypes)["query_id"]
+    q = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    rows = iter(q.collect()) if q.limit(block_queries + 1).count() <= block_queries else q.toLocalIterator()
+
+    def scorer(m, asked: dict):
+        sent = spark.sparkContext.broadcast((m, asked))
 
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            m, asked = sent.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v, of = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1), np.asarray(b.column(2))
+                for one in np.unique(of):
+                    here, who = np.flatnonzero(of == one), asked.get(int(one))
+                    if who is None:
+                        continue
+                    ids = b.column(0).take(pa.array(here))
+                    step = max(1, BLOCK_SCORES // len(here))
+                    for low in range(0, len(who), step):
+                        s = np.round(m[who[low : low + step]] @ v[here].T, digits) + 0.0
+                        r, at = best_of(s, np.asarray(ids), k)
+                        yield pa.RecordBatch.from_arrays([pa.array(who[low + r], pa.int64()), ids.take(pa.array(at)), pa.array(s[r, at])], ["n", "doc_id", "score"])
 
-def ivf_top_k(docs: DataFrame, queries: DataFrame, centroids: list[list[float]], probes: int, k: int = 50, id_col: str = "doc_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """Top k among the vectors of each query's ``probes`` nearest lists; all lists give the exact answer."""
-    d = docs.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(vector).alias("dv"), _nearest(F.col(vector), centroids, 1)[0].alias("list"))
-    q = queries.select("query_id", F.col(vector).alias("qv"), F.explode(_nearest(F.col(vector), centroids, probes)).alias("list"))
-    s = d.join(broadcast_if_small(q, 100_000), "list").select("query_id", "doc_id", F.round(dot(F.col("qv"), F.col("dv")), digits).alias("score"))
+        return run
+
+    while (block := list(islice(rows, block_queries))) or near is None:
+        m = np.asarray([r[1] for r in block], np.float64)
+        lists = _nearest(m, np.asarray(centroids, np.float64), probes) if block and centroids else np.zeros((0, 0), np.int64)
+        asked = {int(x): np.flatnonzero((lists == x).any(axis=1)) for x in np.unique(lists)}
+        names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(block)], f"n long, query_id {kinds[1]}")
+        held = index.where(F.col("list").isin([*asked])) if asked else index.where(F.lit(False))
+        part = held.select("doc_id", "embedding", "list").mapInArrow(scorer(m, asked), f"n long, doc_id {kinds[0]}, score double")
+        part = part.join(F.broadcast(names), "n").select("query_id", "doc_id", "score")
+        near = part if near is None else near.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -12,6 +12,7 @@ from groundwell.operators import ir_metrics as ir
 from groundwell.operators import lexical as lx
 from groundwell.operators import retrieve as rt
 from groundwell.operators.lexical import LexicalIndex
+from groundwell.operators.lineage import cut
 from groundwell.plans.common import Registry, index_store, table, toks_sql
 
 reg = Registry()
@@ -49,7 +50,9 @@ def dense_topk_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ds WHERE label = 3) SELECT * FROM s WHERE rank <= 10"""
 )
 def dense_topk_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dn.dense_top_k(_vectors(spark, sf_dir).where("label = 3"), _vector_queries(spark, sf_dir), 10)
+    """A search within one source: the vectors are kept in a folder a source, and only that one is read."""
+    store, tag = index_store(spark, sf_dir, "embeddings")
+    return dn.dense_top_k(store.vectors(_vectors(spark, sf_dir), "embeddings", tag, by=("label",), normalised=True).where("label = 3"), _vector_queries(spark, sf_dir), 10)
 
 
 _NEAR = "(SELECT list(c.l ORDER BY list_dot_product(c.v, {v}::DOUBLE[]) DESC, c.l) FROM ct c)"
@@ -68,8 +71,10 @@ def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of inverted lists around the first sixteen vectors against the exact top 50, by lists probed; all lists give 1."""
     docs, q = _vectors(spark, sf_dir), _vector_queries(spark, sf_dir)
     centroids = [r[0] for r in docs.where("doc_id < 16").orderBy("doc_id").select("embedding").collect()]
-    exact = dn.dense_top_k(docs, q, 50)
-    out = [ir.overlap_at_k(dn.ivf_top_k(docs, q, centroids, p, 50), exact, 50).agg(F.round(F.avg("recall"), 6).alias("recall")).withColumn("probes", F.lit(p)) for p in (1, 4, 8, 16)]
+    exact = cut(dn.dense_top_k(docs, q, 50))
+    store, tag = index_store(spark, sf_dir, "embeddings")
+    index = store.lists(docs, "embeddings", tag, centroids)
+    out = [ir.overlap_at_k(dn.ivf_top_k(index, q, centroids, p, 50), exact, 50).agg(F.round(F.avg("recall"), 6).alias("recall")).withColumn("probes", F.lit(p)) for p in (1, 4, 8, 16)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 

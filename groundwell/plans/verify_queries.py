@@ -164,27 +164,46 @@ def subset_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return am.build_subset(labels, trials, 10, 1)
 
 
+# Prompts are documents: every fifth is not in the code, every seventh not registered, every third's registered text is another.
+_PROMPTS = """p AS (SELECT 'v' || doc_id AS version, substr(sha256(text), 1, 16) AS h FROM documents WHERE doc_id % 5 <> 0
+), g AS (SELECT 'v' || doc_id AS version, doc_id % 2 = 0 AS frozen, substr(sha256(CASE WHEN doc_id % 3 = 0 THEN lang ELSE text END), 1, 16) AS sha16 FROM documents WHERE doc_id % 7 <> 0
+), vi AS (SELECT version, CASE WHEN frozen IS NULL THEN 'unregistered' WHEN h IS NULL THEN 'missing' WHEN frozen AND h <> sha16 THEN 'drifted' END AS violation FROM p FULL JOIN g USING (version))"""
+
+
+def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    version = F.concat(F.lit("v"), n).alias("version")
+    body = F.when(n % 3 == 0, F.col("lang")).otherwise(F.col("text"))
+    registry = d.where("doc_id % 7 <> 0").select(version, (n % 2 == 0).alias("frozen"), F.substring(F.sha2(body.cast("binary"), 256), 1, 16).alias("sha16"))
+    return am.registry_violations(d.where("doc_id % 5 <> 0").select(version, F.col("text").alias("body")), registry)
+
+
+@reg.add(f"WITH {_PROMPTS} SELECT version, violation FROM vi WHERE violation IS NOT NULL")
+def prompt_registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _violations(spark, sf_dir)
+
+
+_THRESHOLDS = [("catch_rate", ">=", 1.0), ("false_rejection_rate", "<=", 0.0), ("registry", ">=", 1.0), ("share.click", ">=", 0.15), ("share.view", "<=", 0.15), ("share.error", "==", 0.25)]
+
+
 @reg.add(
-    """SELECT * FROM (VALUES ('catch_rate', '>=', 1.0::DOUBLE, 1.0::DOUBLE, true), ('false_rejection_rate', '<=', 0.0, 0.0, true), ('registry', '>=', 1.0, 1.0, true),
-    ('verified.unsupported_verdict_rate', '<=', 0.05, 0.0839, false), ('significance.fisher_p', '<=', 0.05, 0.0048, true)) AS t(metric, op, threshold, value, passed)"""
+    f"""WITH {_PROMPTS}, st AS ({reg.oracles["stress_test"]}), v AS (SELECT 'catch_rate' AS metric, CASE WHEN corrupted > 0 THEN caught / corrupted::DOUBLE ELSE 1 END AS value FROM st UNION ALL SELECT 'false_rejection_rate', CASE WHEN genuine > 0 THEN 1 - kept / genuine::DOUBLE ELSE 0 END FROM st
+    UNION ALL SELECT 'registry', (count(violation) = 0)::INTEGER::DOUBLE FROM vi UNION ALL SELECT 'share.' || event_type, count(*) / (SELECT count(*) FROM events)::DOUBLE FROM events GROUP BY 1
+    ), t AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{op}', {x}::DOUBLE)" for m, op, x in _THRESHOLDS)}) AS t(metric, op, threshold))
+    SELECT metric, op, threshold, round(value, 4) AS value, CASE op WHEN '>=' THEN value >= threshold WHEN '<=' THEN value <= threshold ELSE value = threshold END AS passed FROM t JOIN v USING (metric)"""
 )
 def gate_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = lambda rows: spark.createDataFrame(rows, "metric string, value double")
-    report = spark.createDataFrame([('{"verified":{"unsupported_verdict_rate":0.0839},"significance":{"fisher_p":0.0048}}',)], "report string")
-    paths = ["verified.unsupported_verdict_rate", "significance.fisher_p"]
+    """Thresholds held against the stress test, the prompt registry, and a JSON report of event shares."""
+    words = tx.tokenize(F.col("text"))
+    cases = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"), F.array_join(words, " ").alias("quote"), (F.size(words) >= 2).alias("grounded"))
+    stress = am.scores_table(gr.stress_test(cases, ["item_id"]), ["catch_rate", "false_rejection_rate"]).select(F.col("name").alias("metric"), "value")
+    registry = _violations(spark, sf_dir).agg((F.count(F.lit(1)) == 0).cast("double").alias("value")).select(F.lit("registry").alias("metric"), "value")
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    shares = e.crossJoin(F.broadcast(e.agg(F.sum("n").alias("all")))).select("event_type", (F.col("n") / F.col("all")).alias("x"))
+    report = shares.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("event_type", "x"))).alias("share"))).alias("report"))
+    paths = [m for m, _, _ in _THRESHOLDS if "." in m]
     long = report.select(F.explode(F.array(*[F.struct(F.lit(p).alias("metric"), am.dotted(F.col("report"), p).alias("value")) for p in paths])).alias("x")).select("x.*")
-    t = spark.createDataFrame([("catch_rate", ">=", 1.0), ("false_rejection_rate", "<=", 0.0), ("registry", ">=", 1.0), (paths[0], "<=", 0.05), (paths[1], "<=", 0.05)], "metric string, op string, threshold double")
-    stress = gr.stress_test(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"), F.col("text").alias("quote"), F.lit(True).alias("grounded")).where(F.size(tx.tokenize(F.col("text"))) >= 2), ["item_id"])
-    stress = am.scores_table(stress, ["catch_rate", "false_rejection_rate"]).select(F.col("name").alias("metric"), "value")
-    return am.gate(t, stress, pairs([("registry", 1.0)]), long)
-
-
-@reg.add("SELECT * FROM (VALUES ('v2', 'drifted'), ('v3', 'missing'), ('v9', 'unregistered')) AS t(version, violation)")
-def prompt_registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = spark.createDataFrame([("v1", "a"), ("v2", "b"), ("v9", "c")], "version string, body string")
-    sha = F.substring(F.sha2(F.lit("a").cast("binary"), 256), 1, 16)
-    registry = spark.createDataFrame([("v1", True, ""), ("v2", True, ""), ("v3", False, "")], "version string, frozen boolean, sha16 string").withColumn("sha16", sha)
-    return am.registry_violations(prompts, registry)
+    return am.gate(spark.createDataFrame(_THRESHOLDS, "metric string, op string, threshold double"), stress, registry, long)
 
 
 @reg.add(

@@ -32,3 +32,14 @@ def labeller():
         return {"raw": raw, "in_tokens": len(user) // 4, "out_tokens": len(raw) // 4, "provider_usd": None, "served_model": "fake-1"}
 
     return answer
+
+
+def keyworder():
+    """The words of the note as keywords."""
+
+    def answer(system: str, user: str) -> dict:
+        if "explode" in user:
+            raise RuntimeError("model fell over")
+        return {"raw": json.dumps({"keywords": user.split()}), "in_tokens": 1, "out_tokens": 1}
+
+    return answer

@@ -132,3 +132,42 @@ def test_retry_note_is_the_contract_text(spark):
     df = spark.createDataFrame([("note", ["c1", "c2"], "  source text \n")], "n string, f array<string>, s string")
     got = df.select(tx.retry_note(F.col("n"), F.lit(1), F.col("f"), F.col("s"))).first()[0]
     assert got.startswith("note\n\n[Retry 1] These criteria need") and "last time:\n- c1\n- c2\n\nCopy quotes" in got and got.endswith('text:\n"""\nsource text\n"""')
+
+
+def test_expanded_keywords(spark):
+    n = spark.createDataFrame([("a", "note a"), ("b", "note b"), ("c", "note explode"), ("d", "note d")], "query_id string, text string")
+    k = lambda rows: spark.createDataFrame(rows, "query_id string, keywords array<string>")
+    p = asx.Policy("tests.fake_models:keyworder", "system")
+    out, usage, writes = asx.expand_keywords(n, k([("a", [])]), k([("b", ["kept"])]), p)
+    assert {r["query_id"]: (r["keywords"], r["origin"]) for r in out.collect()} == {"a": ([], "disk"), "b": (["kept"], "store"), "c": (["note explode"], "note"), "d": (["note", "d"], "fresh")}
+    assert [r["query_id"] for r in usage.collect()] == ["d"] and [r["query_id"] for r in writes.collect()] == ["d"]
+    with pytest.raises(asx.BudgetExhausted, match="1 of 2"):
+        asx.expand_keywords(n, k([("a", [])]), k([("b", ["kept"])]), asx.Policy("tests.fake_models:keyworder", "system", tokens_left=asx.ANSWER_TOKENS + 100))
+
+
+def test_ingest_takes_up_where_it_stopped(spark, tmp_path):
+    from groundwell.operators.ingest import ingest
+    from groundwell.sources.sinks import VersionedTable
+
+    rows = lambda ids: spark.createDataFrame([(i, f"t {i}", "Inclusion criteria: abcd abcd abcd\nExclusion criteria: dddddddddddd") for i in ids], "nct_id string, title string, eligibility_raw string")
+    store = VersionedTable(spark, str(tmp_path / "trials"))
+    assert ingest(rows(["A", "B", "A"]), store, "s", "tests.fake_models:encoder") == 2
+    assert ingest(rows(["B", "C"]), store, "s", "tests.fake_models:encoder") == 1
+    got = {r["nct_id"]: r for r in store.read().collect()}
+    assert set(got) == {"A", "B", "C"} and got["A"]["inclusion_criteria"] == ["abcd abcd abcd"] and sum(x * x for x in got["C"]["embedding"]) == pytest.approx(1, abs=1e-5)
+
+
+def test_fetch_once(spark, tmp_path):
+    from groundwell.sources.files import fetch_once
+
+    path = str(tmp_path / "f.bin")
+
+    def broken():
+        yield b"abc"
+        raise OSError("line dropped")
+
+    with pytest.raises(OSError):
+        fetch_once(spark, path, broken)
+    assert not (tmp_path / "f.bin").exists()
+    assert fetch_once(spark, path, lambda: [b"abc", b"def"]) and not fetch_once(spark, path, broken)
+    assert (tmp_path / "f.bin").read_bytes() == b"abcdef"

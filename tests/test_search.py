@@ -104,4 +104,41 @@ def test_ivf_with_all_lists_is_exact(spark):
     q = spark.createDataFrame(rows[:3], "query_id int, embedding array<float>")
     c = dn.ivf_centroids(docs, 4)
     exact = sorted(map(tuple, dn.dense_top_k(docs, q, 5).collect()))
-    assert sorted(map(tuple, dn.ivf_top_k(docs, q, c, 4, 5).collect())) == exact
+    assert sorted(map(tuple, dn.ivf_top_k(dn.ivf_index(docs, c), q, c, 4, 5).collect())) == exact
+
+
+@pytest.mark.parametrize("probes", [1, 2, 5])
+def test_ivf_brute_force(spark, tmp_path, probes):
+    import numpy as np
+
+    rng = np.random.default_rng(probes)
+    x, asked = rng.normal(size=(120, 6)), rng.normal(size=(9, 6))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "doc_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<double>")
+    c = dn.ivf_centroids(docs, 5)
+    assert len(c) == 5 and dn.ivf_centroids(docs.limit(0), 5) == []
+    dn.ivf_index(docs, c).write.partitionBy("list").parquet(str(tmp_path / "ivf"))
+    index = spark.read.parquet(str(tmp_path / "ivf")).select("doc_id", "embedding", "list")
+    assert index.count() == 120
+    m = np.asarray(c)
+    own = (x @ m.T).argmax(axis=1)
+    want = []
+    for i, v in enumerate(asked):
+        lists = np.argsort(-(m @ v), kind="stable")[:probes]
+        some = sorted((-round(float(v @ x[d]), 6), d) for d in range(120) if own[d] in lists)[:7]
+        want += [(i, d, -s, r + 1) for r, (s, d) in enumerate(some)]
+    got = sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in dn.ivf_top_k(index, q, c, probes, 7, block_queries=4).collect())
+    assert [(a, b, r) for a, b, _, r in got] == sorted((a, b, r) for a, b, _, r in want)
+    one = dn.ivf_top_k(index, q.limit(1), c, 1, 7)
+    assert "PartitionFilters: [" in (plan := one._jdf.queryExecution().toString()) and "list#" in plan.split("PartitionFilters: [")[1][:60]
+
+
+def test_a_source_is_pruned(spark, tmp_path):
+    from groundwell.operators.search_index import IndexStore
+
+    v = spark.createDataFrame([(i, [float(i), 1.0], "ab"[i % 2]) for i in range(20)], "doc_id long, embedding array<double>, source string")
+    kept = IndexStore(spark, str(tmp_path / "store")).vectors(v, "all", "t", by=("source",))
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
+    got = dn.dense_top_k(kept.where("source = 'a'"), q, 50)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(0, 20, 2))
+    assert "PartitionFilters: [isnotnull(source" in got._jdf.queryExecution().toString()
