@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,6 @@ PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?%*$&#|]*)$"
 REMEMBERED = 500_000
 #: Characters of texts tokenised together, and of a long text taken at once.
 AT_ONCE, CHUNK = 1 << 23, 1 << 20
-#: Rows of a batch whose texts and ids are held at once.
-ROWS = 2048
 #: Sequence ids of one group lie in a block of this size.
 GROUP_SPAN = 1 << 40
 
@@ -92,12 +90,13 @@ class TextIds:
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+    def encode(self, texts: Iterable[str | None], end_id: int) -> Iterator[bytes]:
         """The packed ids of each text, with ``end_id`` last."""
         import numpy as np
 
         # one at a time: what the library keeps beside the ids of a text is many times the text
-        return [np.asarray([*self.tokenizer.encode(t or "", add_special_tokens=False).ids, end_id], "<u4").tobytes() for t in texts]
+        for t in texts:
+            yield np.asarray([*self.tokenizer.encode(t or "", add_special_tokens=False).ids, end_id], "<u4").tobytes()
 
 
 class WordIds:
@@ -207,26 +206,34 @@ class WordIds:
             at = end
         return out
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """The packed ids of each text, with ``end_id`` last."""
-        found: list[list[bytes]] = [[] for _ in texts]
-        held, owners, size = [], [], 0
+    def encode(self, texts: Iterable[str | None], end_id: int) -> Iterator[bytes]:
+        """The packed ids of each text, with ``end_id`` last; no more texts than a handful are held."""
+        end = end_id.to_bytes(4, "little")
+        docs: list[list[bytes]] = []
+        held: list[str] = []
+        owners: list[list[bytes]] = []
+        size = 0
 
         def work() -> None:
-            for i, ids in zip(owners, self._handful(held) if held else ()):
-                found[i].append(ids)
+            for mine, ids in zip(owners, self._handful(held) if held else ()):
+                mine.append(ids)
 
-        for i, t in enumerate(texts):
+        for t in texts:
+            mine: list[bytes] = []
+            docs.append(mine)
             for part in _chunks(t or ""):
-                if size + len(part) > AT_ONCE:
+                if held and size + len(part) > AT_ONCE:
                     work()
                     held, owners, size = [], [], 0
+                    for x in docs[:-1]:
+                        yield b"".join([*x, end])
+                    docs = [mine]
                 held.append(part)
-                owners.append(i)
+                owners.append(mine)
                 size += len(part)
         work()
-        end = end_id.to_bytes(4, "little")
-        return [b"".join([*x, end]) for x in found]
+        for x in docs:
+            yield b"".join([*x, end])
 
 
 _AT_WORK: dict[str, WordIds | TextIds] = {}
@@ -260,10 +267,9 @@ def pieces(df: DataFrame, text: str, id_col: str, tokenizer_path: str, seq_len:
         step = 4 * seq_len
         for batch in batches:
             counts, crcs = [], []
-            for at in range(0, batch.num_rows, ROWS):
-                for ids in known.encode(batch.column(1).slice(at, ROWS).to_pylist(), end_id):
-                    counts.append(len(ids) // 4)
-                    crcs.append([zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)])
+            for ids in known.encode((x.as_py() for x in batch.column(1)), end_id):
+                counts.append(len(ids) // 4)
+                crcs.append([zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["id", "tokens", "crcs"])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
