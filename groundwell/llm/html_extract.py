@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ def main_texts(weights: dict, pages: list[str | None], threshold: float = 0.5) -
     return ["\n".join(b.text for b, z in zip(x, zs) if z > least) for x, zs in zip(found, odds)]
 
 
-def handfuls(pages: list[str | None], at_once: int, chars_at_once: int) -> Iterator[list[str | None]]:
+def handfuls(pages: Iterable[str | None], at_once: int, chars_at_once: int) -> Iterator[list[str | None]]:
     """The pages in order, ``at_once`` together or fewer where they are long; a page that is longer by itself is alone."""
     held, size = [], 0
     for x in pages:
@@ -54,7 +54,7 @@ def extract_main_text(
 
         for batch in batches:
             at = 0
-            for pages in handfuls(batch.column(len(keep)).to_pylist(), at_once, chars_at_once):
+            for pages in handfuls((x.as_py() for x in batch.column(len(keep))), at_once, chars_at_once):
                 part = batch.slice(at, len(pages))
                 at += len(pages)
                 texts = main_texts(weights, pages, threshold)
