@@ -180,7 +180,8 @@ def salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cr.parse_answer(raw).select("doc_id", F.size("assessments").cast("long").alias("n_complete"))
 
 
-@reg.add()
+# A sentence is found where it stands, and nowhere in a shorter piece, so each of more than three letters is one hit.
+@reg.add("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.\\n] ?'), lambda x: length(x) > 3))::BIGINT AS hits, length(text)::BIGINT AS chars FROM documents")
 def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from groundwell.functions.udfs import highlight_segments as pieces
 
