@@ -31,10 +31,10 @@ WORD_WISE = {
 }
 #: A word that such a tokenizer splits into its letters, lower-cased, and its closing marks.
 PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?%*$&#|]*)$"
-#: Parts of words that a worker remembers: about 30 MB.
-REMEMBERED = 500_000
+#: Parts of words that a worker remembers: about 20 MB.
+REMEMBERED = 300_000
 #: Characters of texts tokenised together, and of a long text taken at once.
-AT_ONCE, CHUNK = 1 << 23, 1 << 20
+AT_ONCE, CHUNK = 1 << 22, 1 << 20
 #: Sequence ids of one group lie in a block of this size.
 GROUP_SPAN = 1 << 40
 
@@ -74,7 +74,9 @@ def gather(values, starts, lengths, codes):
 
     n = lengths[codes]
     ends = np.cumsum(n)
-    return values[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+    at = np.repeat((starts[codes] - (ends - n)).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return values[at], ends
 
 
 def word_wise(definition: str) -> bool:
@@ -118,7 +120,7 @@ class WordIds:
         import pyarrow as pa
 
         self.tokenizer = tokenizer
-        self.parts, self.ids, none = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts, self.ids, none = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
         self.starts, self.lengths = none, none
         found = ((m, tokenizer.encode(m, add_special_tokens=False).ids) for m in self.MARKS)
         self.sign, self.mark = next(((m, ids[0]) for m, ids in found if len(ids) == 1), ("", -1))
@@ -131,7 +133,7 @@ class WordIds:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             out += e.ids
             out.append(self.mark)
-        return np.asarray(out[:-1], np.int64)
+        return np.asarray(out[:-1], "<u4")
 
     def tokenised(self, parts: list[str]):
         """The ids of all parts, and each part's start and number of ids."""
@@ -152,11 +154,11 @@ class WordIds:
             ids.append(made)
             size += len(made)
         for i in apart:
-            made = np.asarray(self.tokenizer.encode(parts[i], add_special_tokens=False).ids, np.int64)
+            made = np.asarray(self.tokenizer.encode(parts[i], add_special_tokens=False).ids, "<u4")
             starts[i], lengths[i] = size, len(made)
             ids.append(made)
             size += len(made)
-        return np.concatenate(ids) if ids else np.zeros(0, np.int64), starts, lengths
+        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), starts, lengths
 
     def looked_up(self, parts):
         """The ids of all different ``parts`` known or not, and each part's start and number of ids."""
@@ -200,7 +202,7 @@ class WordIds:
         ids, ends = gather(ids, starts, ends - starts, np.asarray(numbered.indices))
         last = np.cumsum(np.asarray(pc.list_value_length(words)))
         ends = np.append(0, ends)[last]
-        packed, out, at = ids.astype("<u4").tobytes(), [], 0
+        packed, out, at = ids.tobytes(), [], 0
         for end in (4 * ends).tolist():
             out.append(packed[at:end])
             at = end
