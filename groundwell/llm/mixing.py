@@ -210,8 +210,8 @@ def mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str =
     return ranked.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
-#: Lengths of sources whose cut-offs are sent to every executor: some 60 MB.
-CUTOFFS = 1 << 20
+#: Lengths of sources whose cut-offs are sent to every executor: some 30 MB.
+CUTOFFS = 1 << 18
 
 
 def cutoffs(dealt: DataFrame, quota: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm.common import cut, release, row_hash, with_groups
+from groundwell.llm.exact_dedup import SLICE_BLOCKS, bitmaps, filter_blocks, flagged
 from groundwell.llm.graph import components
 
 BITS = 64
@@ -77,8 +78,8 @@ def ring(m: int, chain: int, t: int, bits: int = BITS) -> tuple[list[int], list[
 CHAINS = (4, 6, 8)
 #: Comparisons in one key beyond which its members are split by keys of the next longer chain.
 HEAVY = 1 << 20
-#: Rows to drop, as (id, hash) pairs, that are sent to every executor; more are joined by a shuffle.
-GONE_BROADCAST = 1 << 20
+#: Rows to drop, as (id, hash) pairs, that are sent to every executor: some 25 MB. Of more a Bloom filter is.
+GONE_BROADCAST = 1 << 19
 #: Fingerprints outside a key's main component that one task compares with the rest of the key.
 SALTED = 1024
 
@@ -227,6 +228,13 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_i
     best = cut(_with_least(placed, "low", n).select("fp", "n", F.col("least").alias("best")))
     known = with_groups(rows, best, ["fp"], ["best"], "n", rows.count(), "tag")
     gone = cut(known.where((F.col("tag") != F.col("best.tag")) | ~F.col("id").eqNullSafe(F.col("best.id"))).select("id", "tag").distinct())
-    # a row is two numbers, so the broadcast stays within some 50 MB
-    gone = F.broadcast(gone) if gone.count() <= GONE_BROADCAST else gone
-    return tagged.join(gone, (tagged.tag == gone.tag) & tagged.rid.eqNullSafe(gone.id), "left_anti").select("row.*")
+    same, n_gone = (F.col("rid").eqNullSafe(gone.id)) & (tagged.tag == gone.tag), gone.count()
+    if n_gone <= GONE_BROADCAST:
+        return tagged.join(F.broadcast(gone), same, "left_anti").select("row.*")
+    # rows whose hash is not in the filter stay where they are; only the others, few more than go, are shuffled
+    blocks = filter_blocks(n_gone, most=SLICE_BLOCKS)
+    marks = cut(bitmaps(gone.withColumn("h", F.xxhash64("id", "tag")), "h", blocks, 1))
+    seen = flagged(tagged.withColumn("h", F.xxhash64("rid", "tag")), marks, "h", blocks)
+    maybe = seen.where("maybe")
+    held = maybe.join(gone, maybe.rid.eqNullSafe(gone.id) & (maybe.tag == gone.tag), "left_anti")
+    return seen.where("not maybe").select("row.*").unionByName(held.select("row.*"))

@@ -98,8 +98,10 @@ def test_rows_with_their_groups(spark, how):
     assert len(others) == (0 if how == "inner" else sum(len(v) for k, v in want.items() if k >= 2000)) and all(r["low"] is None for r in others)
 
 
-def test_near_duplicates_with_ties_and_nulls(spark):
-    """Null ids name a component, rows of one id are told apart, rows equal in every column stay together."""
+@pytest.mark.parametrize("most", [simhash.GONE_BROADCAST, 0])
+def test_near_duplicates_with_ties_and_nulls(spark, monkeypatch, most):
+    """By broadcast and by a Bloom filter. Null ids name a component, rows of one id are told apart, rows equal in every column stay together."""
+    monkeypatch.setattr(simhash, "GONE_BROADCAST", most)
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(5, text, "a"), (5, text, "b"), (None, text, "c"), (9, text + " end", "d"), (7, "other words here now", "e"), (7, "other words here now", "e"), (8, None, "f"), (3, "", "g")]
     d = spark.createDataFrame(rows, "doc_id long, text string, fp string")
