@@ -1,14 +1,23 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line.
+
+``python bench.py vectors`` instead compares the ways to search vectors: exact
+against inverted lists (as many as the root of the vectors) at several probes,
+100 self-queries in one job, with recall of the top 50.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from groundwell.plans import catalog
+from groundwell.operators import dense, ir_metrics
+from groundwell.operators.lineage import cut
+from groundwell.plans import catalog, common
 
 HEADLINE = (
     "hybrid_search dense_topk dense_topk_batched bm25_topk multi_keyword_hybrid rrf_fusion recall_at_k_sweep ndcg_at_10 "
@@ -46,5 +55,29 @@ def main() -> None:
     spark.stop()
 
 
+def vectors() -> None:
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    spark = session(os.environ.get("BENCH_CPUS", "8"))
+    v = cut(common.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"))
+    n = v.count()
+    asked = cut(v.orderBy(F.xxhash64("doc_id", F.lit(0))).limit(100).select(F.col("doc_id").alias("query_id"), "embedding"))
+    exact, arms = None, []
+    for name in ("warm", "exact", "build", 1, 5, 10, 25, int(n**0.5)):
+        began, recall = time.perf_counter(), 1.0
+        if name == "build":
+            centroids = dense.ivf_centroids(v, int(n**0.5))
+            index = cut(dense.ivf_index(v, centroids))
+        elif isinstance(name, str):
+            exact = cut(dense.dense_top_k(v, asked, 50))
+        else:
+            found = cut(dense.ivf_top_k(index, asked, centroids, name, 50))
+        took = time.perf_counter() - began
+        if isinstance(name, int):
+            recall = ir_metrics.overlap_at_k(found, exact, 50).agg(F.avg("recall")).first()[0]
+        arms.append({"arm": name if isinstance(name, str) else f"ivf probes={name}", "sec": round(took, 3), "recall": round(recall, 4)})
+    print(json.dumps({"metric": "vector_arms", "vectors": n, "queries": 100, "arms": arms[1:]}))
+    spark.stop()
+
+
 if __name__ == "__main__":
-    main()
+    vectors() if sys.argv[1:] == ["vectors"] else main()

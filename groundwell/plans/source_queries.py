@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.functions import money
+from groundwell.functions import money, udtfs
 from groundwell.functions import text as tx
 from groundwell.functions import vector as vc
 from groundwell.operators import arm_metrics as am
@@ -16,9 +16,11 @@ from groundwell.operators import fusion as fu
 from groundwell.operators import grounding as gr
 from groundwell.operators import ir_metrics as ir
 from groundwell.operators import retrieve as rt
+from groundwell.plans import search_queries as sq
+from groundwell.plans import text_queries as tq
 from groundwell.plans.common import Registry, norm_sql, table
 from groundwell.schema import CORPUS_JSONL, PATIENT, STUDY
-from groundwell.sources import readers, sinks
+from groundwell.sources import readers, registry, sinks
 from groundwell.streaming import feed
 
 reg = Registry()
@@ -377,6 +379,45 @@ def wide_rerank_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(wide.where("rank <= 50"), "baseline").join(one(again, "reranked"), "k")
 
 
+@reg.add(
+    """SELECT doc_id::VARCHAR AS nct_id, lang AS title, source AS status, lang AS conditions, md5(text) AS raw_md5 FROM documents WHERE lang IN ('fr', 'de') AND source IN (SELECT source FROM documents WHERE doc_id < 7)"""
+)
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry source page by page, with statuses and conditions asked of the registry itself."""
+    statuses = sorted(r[0] for r in _docs(spark, sf_dir).where("doc_id < 7").select("source").distinct().collect())
+    mapped = {"id": "doc_id", "title": "lang", "status": "source", "condition": "lang", "text": "text", "path": f"{sf_dir}/documents.parquet"}
+    options = {"transport": "groundwell.sources.dump:fetch_table", "conditions": "fr,de", "statuses": ",".join(statuses), "page_size": "50", "max_trials": str(1 << 40)}
+    t = registry.read_registry(spark, **options, **{f"transport.{k}": v for k, v in mapped.items()})
+    return t.select("nct_id", "title", "status", F.array_join("conditions", "|").alias("conditions"), _md5(F.col("eligibility_raw")).alias("raw_md5"))
+
+
+@reg.add(
+    tq._SPLIT
+    + """SELECT doc_id, (i - 1)::INTEGER AS pos, c[i].kind AS kind, md5(c[i].text) AS text_md5 FROM (SELECT doc_id, list_concat(list_transform(inclusion, lambda x: {'text': x, 'kind': 'inclusion'}), list_transform(exclusion, lambda x: {'text': x, 'kind': 'exclusion'})) AS c FROM l), unnest(generate_series(1, len(c))) AS g(i)"""
+)
+def criteria_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Criteria of raw texts by the SQL table function."""
+    udtfs.register(spark)
+    return spark.sql("SELECT d.doc_id, c.pos, c.kind, md5(c.text) AS text_md5 FROM {d} AS d, LATERAL criteria(d.raw) AS c", d=_docs(spark, sf_dir).select("doc_id", tq.raw_text().alias("raw")))
+
+
+@reg.add(
+    f"""WITH {sq._HYBRID}, c AS (SELECT doc_id, {tq._LINES.format(x="text")} AS x FROM documents), t AS (SELECT doc_id, len(x) AS n, len(list_filter(x[1:24], lambda l: len(string_split({norm_sql("l")}, ' ')) < 2)) AS short FROM c)
+    SELECT query_id, doc_id, rank, CASE WHEN n > 0 AND short = 0 THEN 'eligible' ELSE 'cannot_determine' END AS trial_verdict, CASE WHEN n = 0 THEN 'no_criteria' END AS error, n > 24 AS truncated, CASE WHEN n > 0 THEN CASE WHEN short > 0 THEN 2 ELSE 0 END END::INTEGER AS retries
+    FROM fr2 JOIN t USING (doc_id) WHERE rank <= 3"""
+)
+def batch_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, labelling with retries, grounding and roll-up of every item's best three documents, in one job."""
+    hits = rt.hybrid_search(*sq._hybrid_inputs(spark, sf_dir), 3)
+    notes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("note"))
+    none = F.array().cast("array<string>")
+    trials = _docs(spark, sf_dir).select(F.col("doc_id").alias("nct_id"), F.col("text").alias("eligibility_raw"), tx.parse_block(F.col("text")).alias("inclusion_criteria"), none.alias("exclusion_criteria"))
+    cached = spark.createDataFrame([], "key string, assessments array<struct<criterion:string,verdict:string,quote:string,rationale:string>>")
+    verdicts, done, _ = asx.assess_notes(hits, notes, trials, cached, asx.Policy("groundwell.operators.stub_models:quoting_labeller", "system"))
+    tries = done.groupBy("query_id", "doc_id").agg(F.max("attempt").alias("retries"))
+    return verdicts.join(tries, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "rank", "trial_verdict", "error", F.col("criteria_truncated").alias("truncated"), "retries")
+
+
 # --- jobs ---------------------------------------------------------------------------------------
 
 _JOBS = """t AS (SELECT event_type || user_id AS job_id, event_id AS pos, CASE WHEN event_id % 11 = 0 THEN 'boom' WHEN event_id % 23 = 0 THEN 'budget_exhausted' END AS error FROM events
