@@ -30,7 +30,10 @@ def model(name: str) -> Callable:
 
 
 def encode(df: DataFrame, text: str, encoder: str, is_query: bool = False, out: str = "embedding", batch: int = 32, prefix: str = "") -> DataFrame:
-    """Adds unit vectors: the encoder is ``f(texts, is_query) -> list of vectors``, called with up to ``batch`` texts; null texts get null."""
+    """Adds unit vectors: the encoder is ``f(texts, is_query) -> list of vectors``, called with up to ``batch`` texts; null texts get null.
+
+    ``prefix`` goes before each text of a query, for encoders that know queries by it (``QUERY_PREFIX``).
+    """
     cols = df.columns
     kinds = dict(df.dtypes)
     where = cols.index(text)
