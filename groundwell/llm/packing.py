@@ -34,7 +34,7 @@ PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?%*$&#|]*)$"
 #: Parts of words that a worker remembers: about 20 MB.
 REMEMBERED = 300_000
 #: Characters of texts tokenised together, and of a long text taken at once.
-AT_ONCE, CHUNK = 1 << 22, 1 << 20
+AT_ONCE, CHUNK = 1 << 21, 1 << 20
 #: Sequence ids of one group lie in a block of this size.
 GROUP_SPAN = 1 << 40
 
