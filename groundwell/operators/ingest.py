@@ -9,6 +9,7 @@ from groundwell.functions.text import document_text
 from groundwell.operators.cdc import resume
 from groundwell.operators.criteria import normalise_trials
 from groundwell.operators.models import encode
+from groundwell.schema import TRIAL, conform
 from groundwell.sources.sinks import VersionedTable
 
 
@@ -23,5 +24,5 @@ def ingest(fetched: DataFrame, store: VersionedTable, source: str, encoder: str,
     trials = normalise_trials(todo)
     text = document_text(F.col("title"), F.col("inclusion_criteria"), F.col("exclusion_criteria") if exclusions else None)
     embedded = encode(trials.withColumn("__text", text), "__text", encoder, batch=batch).drop("__text")
-    rows = embedded.withColumn("source", F.lit(source)).withColumn("seq", F.lit(0 if stored is None else 1))
-    return store.upsert(rows, ["nct_id"], "seq")
+    rows = conform(embedded.withColumn("source", F.lit(source)).withColumn("ingested_at", F.current_timestamp()), TRIAL)
+    return store.upsert(rows, ["nct_id"], "ingested_at")

@@ -173,6 +173,12 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.sessions(table(spark, sf_dir, "events"), "ts", "6 hours", ["user_id"])
 
 
+@reg.add("SELECT DISTINCT user_id, event_type FROM events")
+def events_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event of each kind and user; on a stream within the watermark."""
+    return windows.deduplicated(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type")
+
+
 @reg.add("SELECT event_type, count(*)::BIGINT AS n, round(sum(value * p.usd), 2) AS usd FROM events JOIN (VALUES ('click', 0.5), ('view', 0.1), ('purchase', 2.0)) AS p(event_type, usd) USING (event_type) GROUP BY 1")
 def usage_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = spark.createDataFrame([("click", 0.5), ("view", 0.1), ("purchase", 2.0)], "event_type string, usd double")

@@ -336,3 +336,17 @@ def test_daily_rollover(spark):
     assert days.count() == 2
     today = ledger.summary(days, F.lit("2024-01-02").cast("date"), 2.0).first()
     assert float(today["usd"]) == 2.0 and today["exhausted"]
+
+
+def test_schemas_and_conforming_tables(spark):
+    from groundwell import schema
+
+    for ddl in (schema.TRIAL, schema.ASSESSMENT, schema.USAGE, schema.PATIENT, schema.QREL, schema.CORPUS_JSONL, schema.STUDY, f"c {schema.CRITERION}"):
+        assert spark.createDataFrame([], ddl).count() == 0
+    df = spark.createDataFrame([("1", "x", "gone")], "n string, s string, other string")
+    assert schema.conform(df, "s string, n int, missing double").collect() == [("x", 1, None)]
+
+
+def test_one_trial(spark):
+    t = spark.createDataFrame([("A", "s", "one"), ("A", "r", "two")], "nct_id string, source string, title string")
+    assert [r["title"] for r in readers.get_trial(t, "A", "r").collect()] == ["two"] and readers.get_trial(t, "Z").count() == 0
