@@ -38,6 +38,24 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values:
     return out.select(*rows.columns, *[F.col("__got")[v].alias(v) for v in values])
 
 
+def members_of(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values: Sequence[str], size: str, n_rows: int) -> DataFrame:
+    """The ``rows`` that have a group in ``groups`` (materialised), with its ``values``; keys are not null.
+
+    For tables most of whose rows have no group. Groups of at least one row in
+    ``HOT_SHARE`` are told by a hash of their keys, which the driver collects, so
+    their rows stay out of the shuffle and rows without a group leave in the join.
+    """
+    mark = F.xxhash64(*keys)
+    hot = [r[0] for r in groups.where(F.col(size) * HOT_SHARE >= n_rows).select(mark).distinct().collect()]
+    side = groups.withColumn("__hot", mark.isin(hot)) if hot else groups.withColumn("__hot", F.lit(False))
+    side = side.select("__hot", *[F.col(k).alias(f"__{k}") for k in keys], *values)
+    on, out = [F.col(k) == F.col(f"__{k}") for k in keys], [*rows.columns, *values]
+    if not hot:
+        return rows.join(side, on).select(*out)
+    cold = rows.where(~mark.isin(hot)).join(side.where("not __hot"), on)
+    return rows.where(mark.isin(hot)).join(F.broadcast(side.where("__hot")), on).select(*out).unionByName(cold.select(*out))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
